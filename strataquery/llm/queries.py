@@ -12,7 +12,7 @@ def _query(module: str, name: str):
     return run
 
 
-QUERIES = {name: _query(module, name) for module, name in (("components", "p1_found"), ("conversations", "p3_found"))}
+QUERIES = {name: _query(module, name) for module, name in (("components", "p1_found"), ("conversations", "p3_found"), ("tokenize", "p8_ids"), ("leaks", "p9_found"))}
 
 ORACLES: dict[str, str] = {
     "p3_found": r"""
