@@ -12,7 +12,7 @@ def _query(module: str, name: str):
     return run
 
 
-QUERIES = {name: _query(module, name) for module, name in (("components", "p1_found"), ("conversations", "p3_found"), ("tokenize", "p8_ids"), ("leaks", "p9_found"), ("spans", "p10_found"), ("spans", "p10_shares"))}
+QUERIES = {name: _query(module, name) for module, name in (("components", "p1_found"), ("conversations", "p3_found"), ("tokenize", "p8_ids"), ("leaks", "p9_found"), ("spans", "p10_found"), ("spans", "p10_shares"), ("provenance", "p6_found"), ("provenance", "p6_kinds"), ("syntax", "p7_found"), ("syntax", "p7_rates"))}
 
 ORACLES: dict[str, str] = {
     "p3_found": r"""
