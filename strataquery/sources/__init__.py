@@ -1 +1 @@
-
+"""Report formats, manifests and source text as tables."""

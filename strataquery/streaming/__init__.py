@@ -1 +1 @@
-
+"""Incremental runs over Structured Streaming."""
