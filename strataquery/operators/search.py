@@ -67,6 +67,10 @@ def _overlap(a: str, b: str) -> bool:
     return a == b or (min(len(a), len(b)) >= 3 and (a.startswith(b) or b.startswith(a)))
 
 
+def _meets(term: str):
+    return lambda w: (w == term) | ((F.length(w) >= 3) & (F.lit(len(term)) >= 3) & (F.startswith(w, F.lit(term)) | F.startswith(F.lit(term), w)))
+
+
 def ranking_signals(query: Query, path: Column, line_count: Column, kind: str = "content") -> dict[str, Column]:
     """Weight of every signal for a match, 0 where it doesn't apply."""
     needle = query.text.strip().lower()
@@ -84,7 +88,7 @@ def ranking_signals(query: Query, path: Column, line_count: Column, kind: str =
     on = lambda cond, weight: F.when(cond, float(weight)).otherwise(0.0)
     words = F.filter(F.split(F.lower(F.regexp_replace(path, "([a-z0-9])([A-Z])", "$1 $2")), "[^a-z0-9]+"), lambda w: w != "")
     if terms:
-        met = [F.exists(words, lambda w, t=t: (w == t) | ((F.length(w) >= 3) & (F.lit(len(t)) >= 3) & (F.startswith(w, F.lit(t)) | F.startswith(F.lit(t), w)))).cast("int") for t in terms]
+        met = [F.exists(words, _meets(t)).cast("int") for t in terms]
         ident = sum(met[1:], met[0]) * 40.0 / len(terms)
     else:
         ident = F.lit(0.0)

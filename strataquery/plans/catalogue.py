@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from ..operators import intervals, nested, snapshots
+from . import queries_facts, queries_search
 
 QUERIES = {
+    **queries_search.QUERIES,
+    **queries_facts.QUERIES,
     "p2_found": snapshots.p2_found,
     "p4_found": nested.p4_found,
     "p4_events_table": nested.p4_events_table,
     "p5_found": intervals.p5_found,
 }
 
-FLAGSHIP = "p5_found"
+FLAGSHIP = "search_ranked_topk"
 
 ORACLES: dict[str, str] = {
+    **queries_search.ORACLES,
+    **queries_facts.ORACLES,
     "p4_events_table": """
 select a.record_id, 'affected[' || (i - 1) || '].ranges[' || (j - 1) || '].events[' || (k - 1) || ']' as node,
   'affected[' || (i - 1) || '].ranges[' || (j - 1) || ']' as parent_node,

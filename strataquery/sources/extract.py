@@ -18,12 +18,16 @@ SYMBOLS = {
 _EXT = r"\.([A-Za-z]+)$"
 
 
+def _of_kind(kind: str):
+    return lambda name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """``repository, path, kind, name`` of declarations in files of known languages."""
     ext = F.lower(F.regexp_extract("path", _EXT, 1))
     out = None
     for e, rules in SYMBOLS.items():
-        found = F.concat(*[F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), lambda n, k=k: F.struct(F.lit(k).alias("kind"), n.alias("name"))) for k, p in rules])
+        found = F.concat(*[F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), _of_kind(k)) for k, p in rules])
         out = F.when(ext == e, found) if out is None else out.when(ext == e, found)
     return files.select("repository", "path", F.explode(out).alias("s")).select("repository", "path", "s.kind", "s.name")
 

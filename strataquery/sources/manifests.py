@@ -20,12 +20,16 @@ def go_mod(files: DataFrame) -> DataFrame:
     return rows.select("repository", "path", F.lit("go").alias("ecosystem"), F.regexp_extract("s", r"^(\S+)", 1).alias("package"), F.regexp_extract("s", r"^\S+\s+(\S+)", 1).alias("declared"), F.when(F.contains("s", F.lit("// indirect")), "indirect").otherwise("production").alias("usage"))
 
 
+def _entry(order: int, usage: str):
+    return lambda e: F.struct(F.lit(order).alias("order"), e["key"].alias("package"), e["value"].alias("declared"), F.lit(usage).alias("usage"))
+
+
 def package_json(files: DataFrame) -> DataFrame:
     """All four maps; a package named in several takes optional, production, peer, development in this order."""
     kinds = [("optionalDependencies", "optional"), ("dependencies", "production"), ("peerDependencies", "peer"), ("devDependencies", "development")]
     schema = ", ".join(f"{k} map<string,string>" for k, _ in kinds)
     doc = files.select("repository", "path", F.from_json("text", schema).alias("d"))
-    entries = F.concat(*[F.coalesce(F.transform(F.map_entries(f"d.{k}"), lambda e, i=i, u=u: F.struct(F.lit(i).alias("order"), e["key"].alias("package"), e["value"].alias("declared"), F.lit(u).alias("usage"))), F.array().cast("array<struct<order:int,package:string,declared:string,usage:string>>")) for i, (k, u) in enumerate(kinds)])
+    entries = F.concat(*[F.coalesce(F.transform(F.map_entries(f"d.{k}"), _entry(i, u)), F.array().cast("array<struct<order:int,package:string,declared:string,usage:string>>")) for i, (k, u) in enumerate(kinds)])
     rows = doc.select("repository", "path", F.explode(entries).alias("e")).groupBy("repository", "path", "e.package").agg(F.min("e").alias("e"))
     return rows.select("repository", "path", F.lit("npm").alias("ecosystem"), "e.package", "e.declared", "e.usage")
 
