@@ -29,4 +29,23 @@ w as (select conversation_id from n group by conversation_id
     and coalesce(role = case when turn % 2 = 1 then 'user' else 'assistant' end, false)))
 select conversation_id, cast(turn as integer) as turn, id as message_id
 from n where conversation_id in (select conversation_id from w)""",
+    "p1_found": r"""
+with recursive a as (select upper(regexp_replace(id, '^\s+|\s+$', '', 'g')) as i, list_concat(coalesce(aliases, []), coalesce(related, [])) as n from advisories),
+l as (select distinct i as u, upper(regexp_replace(x, '^\s+|\s+$', '', 'g')) as v from (select i, unnest(n) as x from a) where x is not null),
+e as (select u, v from l where regexp_matches(u, '[0-9]') and regexp_matches(v, '[0-9]') and u <> v), b as (select u, v from e union select v, u from e),
+r as (select u as node, u as other from b union select r.node, b.v from r join b on b.u = r.other)
+select i as advisory_id, coalesce(min(other), i) as group_id from (select distinct i from a) left join (select node, other from r where other in (select i from a)) on node = i group by i""",
+    "p9_found": r"""
+with d as (select doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) as w from documents where text is not null),
+e as (select item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) as w from eval_items),
+dp as (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d), ep as (select item_id, w, unnest(range(1, len(w) - 11)) as i from e),
+dg as (select distinct doc_id, array_to_string(w[i:i+12], ' ') as g from dp), eg as (select distinct item_id, array_to_string(w[i:i+12], ' ') as g from ep)
+select distinct doc_id, item_id from dg join eg using (g)""",
+    "p10_found": """
+with p as (select doc_id, unnest(range(1, length(text) - 298)) as i, text from documents where length(text) >= 300),
+h as (select doc_id, i, md5_number_lower(substring(text, i, 300)) as h from p),
+g as (select h from h group by h having min(doc_id) < max(doc_id)),
+s as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) as gap from h where h in (select h from g)),
+r as (select doc_id, i, sum(case when gap <= 300 then 0 else 1 end) over (partition by doc_id order by i rows unbounded preceding) as n from s)
+select doc_id, cast(min(i) - 1 as integer) as span_start, cast(max(i) + 299 as integer) as span_end from r group by doc_id, n""",
 }
