@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 _COLUMNS = ["repository", "path", "ecosystem", "package", "declared", "usage", "line"]
 _POM = "dependencies struct<dependency:array<struct<groupId:string,artifactId:string,version:string,scope:string>>>"
@@ -61,9 +61,9 @@ def cargo_toml(files: DataFrame) -> DataFrame:
 
 def maven_pom(files: DataFrame) -> DataFrame:
     """Direct dependencies; ``${name}`` is replaced once from the properties."""
-    doc = files.select("repository", "path", "text", F.explode(F.from_xml("text", _POM).getField("dependencies").getField("dependency")).alias("d"))
+    doc = files.select("repository", "path", "text", F.explode(F.from_xml("text", T.DataType.fromDDL(_POM)).getField("dependencies").getField("dependency")).alias("d"))
     name = F.regexp_extract("d.version", r"^\$\{([^}]+)\}$", 1)
-    prop = F.regexp_extract("text", F.concat(F.lit("<"), F.regexp_replace(name, r"\.", "\\\\."), F.lit(r">\s*([^<\s]+)\s*</")), F.lit(1))
+    prop = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit("<"), F.regexp_replace(name, r"\.", "\\\\."), F.lit(r">\s*([^<\s]+)\s*</")), F.lit(1))
     declared = F.when(name != "", prop).otherwise(F.coalesce("d.version", F.lit("")))
     usage = F.when(F.col("d.scope") == "test", "test").when(F.col("d.scope") == "import", "build").otherwise("production")
     return doc.select("repository", "path", F.lit("maven").alias("ecosystem"), F.concat_ws(":", "d.groupId", "d.artifactId").alias("package"), declared.alias("declared"), usage.alias("usage"))

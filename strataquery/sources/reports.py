@@ -5,7 +5,7 @@ A report is one text (a row); parsing is local to it.  ``texts`` has report_id a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.scalars import severity
 
@@ -17,7 +17,7 @@ _SARIF = (
 )
 _SEMGREP = "results array<struct<check_id:string,path:string,start:struct<line:int>,end:struct<line:int>,extra:struct<severity:string,message:string,fingerprint:string,is_ignored:boolean>>>"
 _JACOCO = "package array<struct<_name:string,sourcefile:array<struct<_name:string,counter:array<struct<_type:string,_missed:long,_covered:long>>>>>>"
-_COBERTURA = "packages struct<package:array<struct<classes:struct<class:array<struct<_filename:string,lines:struct<line:array<struct<_number:int,_hits:long,_branch:string,`_condition-coverage`:string>>>>>>>>"
+_COBERTURA = "packages struct<package:array<struct<classes:struct<class:array<struct<_filename:string,lines:struct<line:array<struct<_number:int,_hits:long,_branch:string,`_condition-coverage`:string>>>>>>>>>"
 
 
 def lcov(texts: DataFrame) -> DataFrame:
@@ -25,8 +25,6 @@ def lcov(texts: DataFrame) -> DataFrame:
     line = F.posexplode(F.split("text", "\r\n|\n"))
     rows = texts.select("report_id", line.alias("pos", "line")).withColumn("line", F.trim("line"))
     # A text is one row, so numbering its records within it is local to the report.
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("report_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     starts = F.startswith("line", F.lit("SF:"))
     ended = F.col("line") == "end_of_record"
@@ -37,7 +35,7 @@ def lcov(texts: DataFrame) -> DataFrame:
 
 
 def jacoco(texts: DataFrame) -> DataFrame:
-    p = texts.select("report_id", F.explode(F.from_xml("text", _JACOCO).getField("package")).alias("p"))
+    p = texts.select("report_id", F.explode(F.from_xml("text", T.DataType.fromDDL(_JACOCO)).getField("package")).alias("p"))
     f = p.select("report_id", "p._name", F.explode("p.sourcefile").alias("f"))
     count = lambda kind, what: F.coalesce(F.aggregate(F.filter("f.counter", lambda c: c["_type"] == kind), F.lit(0).cast("long"), lambda a, c: a + what(c)), F.lit(0)).cast("double")
     path = F.concat_ws("/", F.nullif("_name", F.lit("")), "f._name")
@@ -46,7 +44,7 @@ def jacoco(texts: DataFrame) -> DataFrame:
 
 
 def cobertura(texts: DataFrame) -> DataFrame:
-    parsed = texts.select("report_id", F.explode(F.from_xml("text", _COBERTURA).getField("packages").getField("package")).alias("p"))
+    parsed = texts.select("report_id", F.explode(F.from_xml("text", T.DataType.fromDDL(_COBERTURA)).getField("packages").getField("package")).alias("p"))
     c = parsed.select("report_id", F.explode("p.classes.class").alias("c")).select("report_id", F.col("c._filename").alias("path"), F.explode("c.lines.line").alias("l"))
     # A line that several classes report counts once, with its greatest hits.
     per = c.groupBy("report_id", "path", F.col("l._number").alias("line")).agg(F.max("l._hits").alias("hits"), F.max(F.col("l._condition-coverage")).alias("cond"))
