@@ -1,6 +1,6 @@
 """Graphs as node and edge tables: neighbours, impact, paths, reachability.
 
-Traversals are loops of joins.  A frontier is joined with the edges, what was visited is removed by
+Traversals are loops of joins over an adjacency table written once.  A frontier is joined with the edges, what was visited is removed by
 an anti join, and each round is written to the shared folder, so no plan grows with the rounds.
 """
 
@@ -22,7 +22,7 @@ def impact(edges: DataFrame, start: DataFrame, depth: int, scratch: Scratch, dir
     """``node, distance`` of everything within ``depth`` hops of ``start`` (``node``)."""
     if not 0 <= depth <= 6:
         raise ValueError("depth is 0 to 6")
-    adj = neighbours(edges, direction).select("node", "neighbour").distinct()
+    adj = scratch.save(neighbours(edges, direction).select("node", "neighbour").distinct(), "adjacent")
     seen = scratch.save(start.select("node", F.lit(0).alias("distance")).distinct(), "d0")
     frontier = seen
     for hop in range(1, depth + 1):
@@ -45,7 +45,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, scratch: Scratch,
     Empty if there is none within ``most`` hops.  Every visited node keeps its least predecessor.
     """
     spark = edges.sparkSession
-    adj = neighbours(edges)
+    adj = scratch.save(neighbours(edges), "adjacent")
     seen = scratch.save(spark.createDataFrame([(source, None, 0)], "node string, parent string, distance int"), "p0")
     frontier, hops = seen, 0
     found = source == target
@@ -68,7 +68,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, scratch: Scratch,
 
 def reachable(edges: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, distance`` of the whole closure from ``roots``, however deep, cycles included."""
-    adj = neighbours(edges).select("node", "neighbour").distinct()
+    adj = scratch.save(neighbours(edges).select("node", "neighbour").distinct(), "adjacent")
     seen = scratch.save(roots.select("node", F.lit(0).alias("distance")).distinct(), "r0")
     frontier, hop = seen, 0
     while True:

@@ -23,16 +23,16 @@ def merge_static_runtime(static: DataFrame, runtime: DataFrame, key: list[str])
     environment takes the static row without environment, if there is one.
     """
     plain = [k for k in key if k != "environment"]
-    s = static.select(key).distinct()
-    exact = runtime.join(s, key, "left_semi").withColumn("state", F.lit("confirmed")).withColumn("static_environment", F.col("environment"))
-    rest = runtime.join(s, key, "left_anti")
-    loose = s.filter("environment = ''").select(plain)
-    second = rest.join(loose, plain, "left_semi").withColumn("state", F.lit("confirmed")).withColumn("static_environment", F.lit(""))
-    only = rest.join(loose, plain, "left_anti").withColumn("state", F.lit("runtime_only")).withColumn("static_environment", F.lit(None).cast("string"))
-    seen = exact.unionByName(second).unionByName(only)
-    used = seen.filter("state = 'confirmed'").select(*plain, F.col("static_environment").alias("environment")).distinct()
-    unseen = s.join(used, key, "left_anti").withColumn("state", F.lit("static_only")).withColumn("static_environment", F.col("environment"))
-    return seen.unionByName(unseen, allowMissingColumns=True)
+    marked = static.select(*key, F.lit(1).alias("s"), F.lit(0).alias("r")).unionByName(runtime.select(*key, F.lit(0).alias("s"), F.lit(1).alias("r")))
+    per = marked.groupBy(*key).agg(F.max("s").alias("s"), F.max("r").alias("r"))
+    # The environments of one connection are few, so a window over it is small whatever the data.
+    w = W.partitionBy(*plain)
+    lone = (F.col("r") == 1) & (F.col("s") == 0)
+    seen = per.withColumn("loose", F.max(F.when((F.col("s") == 1) & (F.col("environment") == ""), 1).otherwise(0)).over(w)).withColumn("wanted", F.max(F.when(lone, 1).otherwise(0)).over(w))
+    taken = (F.col("r") == 0) & (F.col("environment") == "") & (F.col("wanted") == 1)
+    state = F.when(lone & (F.col("loose") == 0), "runtime_only").when(F.col("r") == 1, "confirmed").otherwise("static_only")
+    env = F.when(lone, F.when(F.col("loose") == 1, "")).otherwise(F.col("environment"))
+    return seen.filter(~taken).select(*key, state.alias("state"), env.alias("static_environment"))
 
 
 def unique_aliases(names: DataFrame, components: DataFrame) -> DataFrame:

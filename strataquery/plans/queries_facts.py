@@ -201,10 +201,10 @@ def snapshot_digest(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- topology
-def _runtime(spark, sf_dir) -> DataFrame:
+def _runtime(spark, sf_dir, once: bool = True) -> DataFrame:
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    o = _t(spark, sf_dir, "runtime_observations").distinct()
-    return o.select(service_name(F.coalesce("source_name", F.lit(""))).alias("source"), service_name(F.coalesce("target_name", F.lit(""))).alias("target"), blank("protocol"), blank("environment"), "provider", "request_count", "error_count", "latency_p95_ms", "observed_from", "observed_to").filter("source <> '' and target <> ''")
+    o = _t(spark, sf_dir, "runtime_observations")
+    return (o.distinct() if once else o).select(service_name(F.coalesce("source_name", F.lit(""))).alias("source"), service_name(F.coalesce("target_name", F.lit(""))).alias("target"), blank("protocol"), blank("environment"), "provider", "request_count", "error_count", "latency_p95_ms", "observed_from", "observed_to").filter("source <> '' and target <> ''")
 
 
 def topology_runtime_metrics(spark, sf_dir):
@@ -213,10 +213,10 @@ def topology_runtime_metrics(spark, sf_dir):
 
 
 def topology_full_outer_merge(spark, sf_dir):
-    r = _runtime(spark, sf_dir)
+    r = _runtime(spark, sf_dir, once=False)  # only distinct keys matter
     key = ["source", "target", "protocol", "environment"]
     declared = r.filter("provider = 'tracehub'").select("source", "target", "protocol", F.when(F.length("target") % 2 == 0, F.col("environment")).otherwise("").alias("environment"))
-    return topology.merge_static_runtime(declared, r.filter("provider <> 'tracehub'").select(key).distinct(), key)
+    return topology.merge_static_runtime(declared, r.filter("provider <> 'tracehub'"), key)
 
 
 def topology_alias_unique(spark, sf_dir):

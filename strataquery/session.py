@@ -30,6 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN_DIR}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out where a scan has fewer partitions than there are cores, else leave them.
+
+    For maps that cost far more CPU than a row's transport; large inputs never shuffle here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
