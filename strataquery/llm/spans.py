@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.intervals import merge_runs
-from ..session import Scratch, table
+from ..session import Scratch, spread, table
 from .textarrays import BLOCK, blocks, codepoints, mix, prefix_hashes, span_hashes
 
 #: Characters of a shared stretch and of a gram, and the contexts of an anchor that one task compares.
@@ -111,7 +111,7 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, scratch: Scratch, leas
                 if len(h):
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[rows][own].astype(np.int64)), pa.array(x.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(offset.astype(np.int32))], names=["h", "d", "x", "c", "n", "off"])
 
-    found = scratch.save(corpus.mapInArrow(anchors, "h long, d long, x long, c int, n int, off int"), "anchors")
+    found = scratch.save(spread(corpus).mapInArrow(anchors, "h long, d long, x long, c int, n int, off int"), "anchors")
     both = found.groupBy("h").agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.min("x").alias("x0"), F.max("x").alias("x1")).filter("d0 < d1").select("h", (F.col("x0") != F.col("x1")).alias("mixed"))
     shared = scratch.save(found.join(both, "h"), "shared")
     scratch.drop("anchors")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import shared_dir, table
+from ..session import shared_dir, spread, table
 from .textarrays import LETTER, OTHER, SPACE, blocks, classes, codepoints
 
 #: Where the public vocabulary is found; any rank file of a byte-level BPE with the same word pattern does.
@@ -135,32 +135,32 @@ class Transducer:
         count(0)
         order = sorted(counts, key=lambda s: -len(arcs[s]))
         base: dict[int, int] = {}
-        used = np.zeros(1 << 20, bool)
-        low = 0
+        # First fit, the widest states first; states of one width go on where the last one fitted.
+        used, low, hint, width = bytearray(1 << 12), 0, 0, 0
         for state in order:
-            labels = np.array(sorted(arcs[state]), np.int64)
-            if not len(labels):
+            labels = sorted(arcs[state])
+            if not labels:
                 base[state] = 0
                 continue
-            if len(used) - low < 4096:
-                used = np.r_[used, np.zeros(1 << 20, bool)]
-            at = low
+            first, rest = labels[0], [x - labels[0] for x in labels[1:]]
+            if len(labels) != width:
+                hint, width = low, len(labels)
+            at = max(hint, first)
             while True:
-                hit = np.flatnonzero(~used[at : at + 4096])
-                hit = hit[hit + at >= labels[0]] + at
-                clear = ~used[np.minimum(hit[:, None] - labels[0] + labels[None, :], len(used) - 1)].any(1) if len(hit) else np.zeros(0, bool)
-                good = hit[clear] if len(hit) else hit
-                if len(good):
-                    b = int(good[0] - labels[0])
+                found = used.find(0, at)
+                if found < 0 or found + 256 >= len(used):
+                    used.extend(bytes(len(used)))
+                    continue
+                at = found
+                if not any(used[at + x] for x in rest):
                     break
-                at += 4096
-                if at + 8192 > len(used):
-                    used = np.r_[used, np.zeros(1 << 20, bool)]
-            base[state] = b
-            used[b + labels] = True
-            while used[low]:
-                low += 1
-        size = int(np.flatnonzero(used)[-1]) + 257
+                at += 1
+            base[state] = at - first
+            for x in labels:
+                used[base[state] + x] = 1
+            low = used.find(0, low)
+            hint = max(at, low)
+        size = used.rfind(1) + 257
         number = {s: i for i, s in enumerate([0, *(s for s in order if s != 0)])}
         self.check = np.full(size, -1, np.int32)
         self.target = np.zeros(size, np.int32)
@@ -344,7 +344,7 @@ def token_ids(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY
                 ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), ids], names=["key", "ids"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, ids array<int>").withColumnRenamed("key", key)
+    return spread(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t"))).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, ids array<int>").withColumnRenamed("key", key)
 
 
 def p8_ids(spark, sf_dir: str) -> DataFrame:
