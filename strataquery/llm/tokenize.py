@@ -1,12 +1,14 @@
 """Encoding of a whole corpus with a public byte-level BPE vocabulary.
 
-Plan: a map over the documents, no shuffle.  The driver compiles the vocabulary's words - the
-frequent words of the tokenizer's own corpus - with their ids into a minimal acyclic transducer:
-suffixes are shared, and every arc carries the number of words sorted before it, so the sum along a
-path is the word's number and a table gives its ids.  The automaton is one array file that the
-executors fetch once and map into memory.  Batches are cut into words and walked through it all at
-once: step j moves every word still alive by its j-th byte.  Words that fall off are merged exactly,
-pair by lowest rank, and remembered; no id depends on what the lexicon holds.
+Plan: two maps over the documents.  The first counts, over the whole corpus, the words that are no
+entry of the vocabulary; only (word, count) is shuffled, summed in every task before.  The driver
+takes the most frequent of them - a fixed number, whatever the corpus - and compiles them and the
+vocabulary with their ids into a minimal acyclic transducer: suffixes are shared, and every arc
+carries the number of words sorted before it, so the sum along a path is the word's number and a table
+gives its ids.  The automaton is one array file that the executors fetch once and map into memory.
+The second map cuts batches into words and walks them through it all at once: step j moves every word
+still alive by its j-th byte.  Words that fall off are merged exactly, pair by lowest rank, and
+remembered; no id depends on what the lexicon holds.
 
 Defined results: null and empty texts give an empty array; texts that look like special tokens are
 plain text; one row for each input row, whatever repeats; other columns are not read.
@@ -18,6 +20,7 @@ import base64
 import hashlib
 import heapq
 import io
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,6 +35,8 @@ from .textarrays import LETTER, OTHER, SPACE, blocks, classes, codepoints
 #: Where the public vocabulary is found; any rank file of a byte-level BPE with the same word pattern does.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _REMEMBERED = 400_000
+#: Most frequent words taken into the lexicon besides the vocabulary, and the longest (in bytes) that are counted.
+FREQUENT, LONGEST = 40_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -272,11 +277,9 @@ def cut_words(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts[:n])
 
 
-def encode(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids of all texts, and the n+1 offsets of the texts in them."""
+def _split(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts as bytes, where words start and end in them, and where the n+1 texts do."""
     flat, offsets = codepoints(texts)
-    if not len(flat):
-        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     # An empty text shares its offset with the next one and starts no word.
     start = cut_words(flat, offsets[np.r_[True, offsets[1:] > offsets[:-1]]] if offsets[-1] == len(flat) else offsets)
     raw = "".join(texts).encode("utf-8", "surrogatepass")
@@ -286,8 +289,24 @@ def encode(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     else:
         wide = np.r_[0, np.cumsum(1 + (flat > 0x7F) + (flat > 0x7FF) + (flat > 0xFFFF).astype(np.int64))]
         byte, doc_at = wide[start], wide[offsets]
-    end = np.r_[byte[1:], len(data)]
-    number = lexicon.numbers(data, byte, end - byte)
+    return raw, byte, np.r_[byte[1:], len(data)], doc_at
+
+
+def count_unseen(texts: list[str], lexicon: Lexicon, into: Counter) -> None:
+    """Add the words of ``texts`` that the lexicon lacks."""
+    if not any(texts):
+        return
+    raw, byte, end, _ = _split(texts)
+    missing = np.flatnonzero((lexicon.numbers(np.frombuffer(raw, np.uint8), byte, end - byte) < 0) & (end - byte <= LONGEST))
+    into.update([raw[a:b] for a, b in zip(byte[missing].tolist(), end[missing].tolist())])
+
+
+def encode(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids of all texts, and the n+1 offsets of the texts in them."""
+    if not any(texts):
+        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+    raw, byte, end, doc_at = _split(texts)
+    number = lexicon.numbers(np.frombuffer(raw, np.uint8), byte, end - byte)
     seen = number >= 0
     size = np.zeros(len(number), np.int64)
     at = lexicon.offsets[number[seen]]
@@ -310,15 +329,15 @@ def encode(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
 
 
 @cache
-def _packed(vocabulary: str) -> bytes:
+def _packed(vocabulary: str, extra: tuple[bytes, ...]) -> bytes:
     buffer = io.BytesIO()
-    np.save(buffer, pack(read_ranks(vocabulary)))
+    np.save(buffer, pack(read_ranks(vocabulary), extra))
     return buffer.getvalue()
 
 
-def _publish(spark, vocabulary: str) -> str:
+def _publish(spark, vocabulary: str, extra: tuple[bytes, ...] = ()) -> str:
     """Write the packed lexicon to the shared folder and let the executors fetch it; returns its name."""
-    data = _packed(vocabulary)
+    data = _packed(vocabulary, extra)
     name = f"strataquery-lexicon-{hashlib.sha256(data).hexdigest()[:16]}.npy"
     path = f"{shared_dir(spark)}/{name}"
     jvm = spark.sparkContext._jvm
@@ -332,10 +351,35 @@ def _publish(spark, vocabulary: str) -> str:
     return name
 
 
-def token_ids(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``key`` and ``ids`` of every row of ``docs``."""
+def frequent_words(docs: DataFrame, text: str, vocabulary: str = VOCABULARY, most: int = FREQUENT) -> tuple[bytes, ...]:
+    """The ``most`` frequent words of the whole corpus that are no entry of the vocabulary, sorted."""
     name = _publish(docs.sparkSession, vocabulary)
 
+    def run(batches: Iterator[pa.RecordBatch]):
+        lexicon, held = _lexicon(name), Counter()
+
+        def out():
+            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            held.clear()
+            return batch
+
+        for batch in batches:
+            for _, texts in blocks(batch, 0):
+                count_unseen(texts, lexicon, held)
+                if len(held) > _REMEMBERED:
+                    yield out()
+        yield out()
+
+    counted = spread(docs.select(F.col(text).cast("string").alias("t"))).mapInArrow(run, "word binary, n long")
+    top = counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(most)
+    # At most ``most`` words of LONGEST bytes come to the driver: a few MB at any size.
+    return tuple(sorted(bytes(r[0]) for r in top.select("word").collect()))
+
+
+def token_ids(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, most: int = FREQUENT) -> DataFrame:
+    """``key`` and ``ids`` of every row of ``docs``."""
+    name = _publish(docs.sparkSession, vocabulary, frequent_words(docs, text, vocabulary, most) if most else ())
+
     def run(batches: Iterator[pa.RecordBatch]):
         lexicon = _lexicon(name)
         for batch in batches:
