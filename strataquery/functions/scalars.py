@@ -124,3 +124,46 @@ def cvss4_band(text: Column) -> Column:
 
 def score_band(score: Column) -> Column:
     return F.when(score >= 9, "critical").when(score >= 7, "high").when(score >= 4, "medium").when(score > 0, "low").otherwise("unknown")
+
+
+def test_path(path: Column) -> Column:
+    """Whether a path is a test by its folders or its name."""
+    low = F.lower(path)
+    return F.arrays_overlap(F.split(low, "/"), F.array(*[F.lit(x) for x in ("test", "tests", "__tests__", "spec", "testing")])) | F.element_at(F.split(low, "/"), -1).rlike(r"^test_|\.(?:test|spec)\.|_(?:test|spec)\.[a-z]+$|tests?\.(?:java|kt|cs|swift)$")
+
+
+def without_comments(text: Column) -> Column:
+    """Line and block comments of C-like languages removed, literals kept."""
+    return F.regexp_replace(text, r"""("(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|//[^\n]*|/\*[\s\S]*?\*/""", "$1")
+
+
+def identifier_parts(name: Column) -> Column:
+    """Lower-case words of an identifier: camel case, acronyms and digits apart."""
+    spaced = F.regexp_replace(F.regexp_replace(name, r"([\p{Ll}\d])(\p{Lu})", "$1 $2"), r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")
+    return F.filter(F.split(F.lower(F.regexp_replace(spaced, r"([\p{L}])(\d)", "$1 $2")), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+def bounded(text: Column, most: int) -> Column:
+    """White space compacted, cut at ``most`` code points with an ellipsis."""
+    flat = trimmed(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("…"))).otherwise(flat)
+
+
+def line_of(text: Column, offset: Column) -> Column:
+    """The line (from 1) that a code-point offset stands in."""
+    return F.size(F.split(F.substring(text, F.lit(1), offset), "\n", -1))
+
+
+def ttl_state(status: Column, expires: Column, now: Column) -> Column:
+    """Cached registry answers: usable, failed, or past their time."""
+    return F.when(expires <= now, "stale").when(status == "ok", "fresh").otherwise("failed")
+
+
+def private_package(package: Column, owned: list[str]) -> Column:
+    """Whether any part of a package name is one of the names we own."""
+    return F.arrays_overlap(F.split(F.lower(package), r"[@/:._-]+"), F.array(*[F.lit(x.lower()) for x in owned]))
+
+
+def keyset_cursor(*parts: Column) -> Column:
+    """An opaque cursor bound to everything that defines a page."""
+    return F.sha2(F.concat_ws("\0", *[p.cast("string") for p in parts]), 256)

@@ -147,3 +147,12 @@ def directory_closure(paths: DataFrame, path: str = "path") -> DataFrame:
     parts = F.split(F.col(path), "/")
     ups = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     return paths.filter(F.size(parts) > 1).select(F.explode(ups).alias("directory")).groupBy("directory").agg(F.count("*").alias("files"))
+
+
+def fragments(column: Column, literal: str) -> Column:
+    """Half-open code-point ranges of the non-overlapping occurrences, case apart."""
+    parts = F.split(F.lower(column), re.escape(literal.lower()), -1)
+    size = len(literal)
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    step = lambda acc, p: F.struct((acc["at"] + F.length(p) + size).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(p)).alias("start"), (acc["at"] + F.length(p) + size).alias("end")))).alias("out"))
+    return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), empty, step, lambda acc: acc["out"])
