@@ -22,7 +22,7 @@ import heapq
 import io
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -181,11 +181,14 @@ class Transducer:
                 before += counts[arcs[state][byte]]
 
 
-def pack(ranks: dict[bytes, int], extra: list[bytes] = ()) -> np.ndarray:
-    """The lexicon as one array: automaton, id lists by word number, and the vocabulary itself."""
+def pack(ranks: dict[bytes, int], extra: list[bytes] = (), known: dict[bytes, list[int]] | None = None) -> np.ndarray:
+    """The lexicon as one array: automaton, id lists by word number, and the vocabulary itself.
+
+    ``known`` may hold ids of words that were merged before.
+    """
     words = sorted({*ranks, *extra})
     auto = Transducer(words)
-    ids = [merge(w, ranks) for w in words]
+    ids = [known[w] if known and w in known else merge(w, ranks) for w in words]
     vocab = sorted(ranks, key=ranks.get)
     blob = np.frombuffer(b"".join(vocab) + b"\0" * (-sum(map(len, vocab)) % 4), np.int32)
     parts = [auto.base, auto.final, auto.check, auto.target, auto.skip, np.r_[0, np.cumsum([len(i) for i in ids])].astype(np.int32), np.array([x for i in ids for x in i], np.int32), np.array([ranks[w] for w in vocab], np.int32), np.array([len(w) for w in vocab], np.int32), blob]
@@ -329,9 +332,17 @@ def encode(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
 
 
 @cache
+def _vocabulary(path: str) -> tuple[dict[bytes, int], dict[bytes, list[int]]]:
+    """Ranks of a vocabulary, and the ids of its own entries as words."""
+    ranks = read_ranks(path)
+    return ranks, {w: merge(w, ranks) for w in ranks}
+
+
+@lru_cache(4)
 def _packed(vocabulary: str, extra: tuple[bytes, ...]) -> bytes:
+    ranks, known = _vocabulary(vocabulary)
     buffer = io.BytesIO()
-    np.save(buffer, pack(read_ranks(vocabulary), extra))
+    np.save(buffer, pack(ranks, extra, known))
     return buffer.getvalue()
 
 
