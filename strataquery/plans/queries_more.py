@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import scalars, versions
-from ..operators import contexts, dependencies, graph, search, symbols, topology
+from ..operators import contexts, graph, resolution, search, symbols
 from ..session import table
 from ..sources import extract
 from ..sources.python_syntax import python_facts
@@ -193,11 +193,45 @@ def reachability_states(spark, sf_dir):
     return j.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (match_fragments, match_citations, scoped_lines, effective_contexts, symbol_definitions, symbol_search, reference_targets, reference_cap, import_packages, import_quarantine, runtime_import, registry_latest_stable, registry_ttl, revision_prefix, incremental_pending, artifact_readiness, evidence_cap, budget_skip, identifier_words, test_paths, comment_free, private_packages, topology_assembly, neighborhood_roles, reachability_states)}
+def client_reference_targets(spark, sf_dir):
+    o = table(spark, sf_dir, "runtime_observations").filter("source_name is not null and target_name is not null")
+    refs = o.select(F.col("source_name").alias("source"), F.concat(F.lit("http://"), F.trim("target_name"), F.lit(":80/x")).alias("target"), F.when(F.col("provider") == "tracehub", "high").otherwise("low").alias("confidence"))
+    services = o.filter("protocol = 'http'").select(F.col("target_name").alias("name"))
+    return resolution.client_references(refs, services)
+
+
+def component_reasons(spark, sf_dir):
+    o = table(spark, sf_dir, "insight_observations").filter("path is not null").select(F.try_element_at(F.split("path", "/"), F.lit(-2)).alias("name"), "path", "start_line").distinct()
+    c = o.select("name", "path", (F.length("path") % 5 != 0).alias("has_source"), F.lit(False).alias("external"), F.lit(1).alias("references"))
+    return resolution.root_reasons(c).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def placeholder_resolution(spark, sf_dir):
+    """Repositories as placeholders, environments' observations as assignments."""
+    r = table(spark, sf_dir, "repositories")
+    p = r.select(F.col("path").alias("source"), F.concat(F.regexp_replace(F.upper("name"), "-", "_"), F.lit("_URL")).alias("variable"), F.when(F.col("id") % 7 == 0, F.concat(F.lit("http://"), "name")).alias("default_value"), F.when(F.col("id") % 5 == 0, F.col("default_revision")).alias("map_key"))
+    reg = r.filter("id % 3 = 0").select(F.col("default_revision").alias("map_key"), F.concat(F.lit("svc-"), F.length("default_revision")).alias("value"))
+    asg = r.filter("id % 2 = 0").select(F.concat(F.regexp_replace("name", "-", "_"), F.lit("_url")).alias("variable"), F.concat(F.lit("host-"), F.col("id") % 4).alias("value"), (F.col("id") % 3).alias("rank"))
+    return resolution.resolve_placeholders(p, reg, asg).groupBy("tier").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (client_reference_targets, component_reasons, placeholder_resolution, match_fragments, match_citations, scoped_lines, effective_contexts, symbol_definitions, symbol_search, reference_targets, reference_cap, import_packages, import_quarantine, runtime_import, registry_latest_stable, registry_ttl, revision_prefix, incremental_pending, artifact_readiness, evidence_cap, budget_skip, identifier_words, test_paths, comment_free, private_packages, topology_assembly, neighborhood_roles, reachability_states)}
 
 _LINES = f"{FILES_SQL}, l as (select file_id, repository_id, string_split(text, chr(10)) as a from f where text is not null), n as (select file_id, repository_id, unnest(range(1, len(a) + 1)) as number, a from l)"
 _PAIRS = f"p as (select distinct {_SERVICE.format('source_name')} as src, {_SERVICE.format('target_name')} as dst from runtime_observations where source_name is not null and target_name is not null), o as (select * from p where src <> '' and dst <> '')"
 ORACLES = {
+    "client_reference_targets": f"""with r as (select {_SERVICE.format('source_name')} as source, {_SERVICE.format("'http://' || trim(target_name, ' ') || ':80/x'")} as target, provider = 'tracehub' as high from runtime_observations where source_name is not null and target_name is not null),
+s as (select distinct {_SERVICE.format('target_name')} as target from runtime_observations where source_name is not null and target_name is not null and protocol = 'http')
+select source, target, case when bool_or(high) then 'high' else 'low' end as confidence, case when bool_or(high) then count(*) filter (high) else count(*) end as evidence from r where source <> target and target <> '' and target in (select target from s) group by source, target""",
+    "component_reasons": """with o as (select distinct string_split(path, '/')[-2] as name, path, start_line from insight_observations where path is not null)
+select case when coalesce(trim(name), '') = '' then 'no name' when regexp_matches(lower(name), '^(?:test|tests|example|examples|demo|sample|fixture)s?(?:-|$)') or regexp_matches(lower(path), '(?:^|/)(?:test|tests|testdata|examples?|fixtures?)(?:/|$)') then 'test or example'
+  when regexp_matches(lower(name), '^(?:localhost|127\\.|0\\.0\\.0\\.0|::1)') then 'loopback' when length(path) % 5 = 0 then 'no deployable source' else 'kept' end as reason, count(*) as n from o group by 1""",
+    "placeholder_resolution": """with p as (select upper(replace(name, '-', '_')) || '_URL' as variable, case when id % 7 = 0 then 'http://' || name end as d, case when id % 5 = 0 then default_revision end as k from repositories),
+g as (select default_revision as k, count(distinct 'svc-' || length(default_revision)) as rn from repositories where id % 3 = 0 group by 1),
+a as (select lower(replace(name, '-', '_') || '_url') as v, 'host-' || (id % 4) as value, id % 3 as rank from repositories where id % 2 = 0),
+b as (select v, count(distinct value) as an from (select * from a qualify rank() over (partition by v order by rank desc) = 1) group by v)
+select case when rn = 1 then 'registry' when coalesce(d, '') <> '' then 'default' when an = 1 then 'assignment' when an > 1 then 'ambiguous_assignment' when rn > 1 then 'ambiguous_registry' when variable <> '_URL' then 'name' else 'unresolved' end as tier, count(*) as n
+from p left join g using (k) left join b on b.v = lower(variable) group by 1""",
     "match_fragments": f"""with recursive {_LINES}, x as (select file_id, number, lower(a[number]) as t from n where contains(lower(a[number]), 'retry')),
 r as (select file_id, number, t, strpos(t, 'retry') - 1 as start from x union all select file_id, number, t, start + 5 + strpos(substr(t, start + 6), 'retry') - 1 from r where strpos(substr(t, start + 6), 'retry') > 0)
 select file_id, cast(number as bigint) as number, cast(start as bigint) as start, cast(start + 5 as bigint) as "end" from r""",
