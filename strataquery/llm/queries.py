@@ -49,3 +49,8 @@ s as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) as gap
 r as (select doc_id, i, sum(case when gap <= 300 then 0 else 1 end) over (partition by doc_id order by i rows unbounded preceding) as n from s)
 select doc_id, cast(min(i) - 1 as integer) as span_start, cast(max(i) + 299 as integer) as span_end from r group by doc_id, n""",
 }
+
+ORACLES["p10_shares"] = f"""
+with spans as ({ORACLES["p10_found"]}), t as (select doc_id, cast(sum(span_end - span_start) as bigint) as shared, count(*) as stretches from spans group by doc_id)
+select doc_id, cast(coalesce(length(text), 0) as bigint) as chars, coalesce(stretches, 0) as stretches, coalesce(shared, 0) as shared,
+  case when length(text) > 0 then round(coalesce(shared, 0) / length(text), 6) end as share from documents left join t using (doc_id)"""
