@@ -256,6 +256,9 @@ select case when indexed_commit is null then 'unknown_repository' when coalesce(
     "evidence_cap": "with e as (select key, list_sort(list_distinct(list(path || ':' || coalesce(start_line, 0)))) as e from insight_observations where path is not null group by key) select key, array_to_string(e[1:12], ',') as evidence, len(e) as total from e",
     "test_paths": "with o as (select distinct path from insight_observations where path is not null), r as (select regexp_replace(path, '/([a-z])', '/test_\\1', 'g') as path from o union all select path from o) select list_has_any(string_split(lower(path), '/'), ['test', 'tests', '__tests__', 'spec', 'testing']) or regexp_matches(regexp_extract(lower(path), '[^/]*$'), '^test_|\\.(?:test|spec)\\.|_(?:test|spec)\\.[a-z]+$|tests?\\.(?:java|kt|cs|swift)$') as is_test, count(*) as n from r group by 1",
     "comment_free": f"""with {FILES_SQL} select file_id, md5(regexp_replace(text, '("(?:\\\\.|[^"\\\\\\n])*"|''(?:\\\\.|[^''\\\\\\n])*'')|//[^\\n]*|/\\*(?s:.*?)\\*/', '\\1', 'g')) as digest from f where text is not null and path like '%.java'""",
+    "identifier_words": f"""with {FILES_SQL}, s as ({_BY_LANGUAGE}), d as (select distinct name from s),
+x as (select name, regexp_replace(regexp_replace(regexp_replace(name, '([\\p{{Ll}}\\d])(\\p{{Lu}})', '\\1 \\2', 'g'), '(\\p{{Lu}})(\\p{{Lu}}\\p{{Ll}})', '\\1 \\2', 'g'), '(\\p{{L}})(\\d)', '\\1 \\2', 'g') as y from d),
+w as (select unnest(list_distinct(list_filter(regexp_split_to_array(lower(y), '[^\\p{{L}}\\p{{N}}]+'), lambda z: z <> ''))) as word from x) select word, count(*) as names from w group by word""",
     "private_packages": "with a as (select distinct f.name as package from (select unnest(affected) as f from advisories) where f.name is not null) select package from a where list_has_any(regexp_split_to_array(lower(package), '[@/:._-]+'), ['rode', 'vella', 'plive', 'volani'])",
     "topology_assembly": f"with {_PAIRS}, k as (select src from (select src from o union all select dst from o) group by src having count(*) >= 3) select src as source, dst as target from o where src in (select src from k) and dst in (select src from k)",
     "neighborhood_roles": f"""with {_PAIRS}, e as (select * from o where src <> dst), h as (select src as me from e group by src order by count(*) desc, src desc limit 1),
