@@ -125,14 +125,17 @@ def artifact_readiness(spark, sf_dir):
 def evidence_cap(spark, sf_dir):
     """Distinct evidence of each key in a total order, at most twelve."""
     o = table(spark, sf_dir, "insight_observations").filter("path is not null")
-    e = F.array_sort(F.collect_set(F.concat_ws(":", "path", F.coalesce("start_line", F.lit(0)))))
-    return o.groupBy("key").agg(e.alias("e")).select("key", F.array_join(F.slice("e", 1, 12), ",").alias("evidence"), F.size("e").cast("long").alias("total"))
+    e = o.select("key", F.concat_ws(":", "path", F.coalesce("start_line", F.lit(0))).alias("e")).distinct()
+    total = e.groupBy("key").agg(F.count("*").alias("total"))
+    top = symbols.capped(e, ["key"], [F.asc("e")], 12).groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("e")), ",").alias("evidence"))
+    return top.join(total, "key").select("key", "evidence", "total")
 
 
 def budget_skip(spark, sf_dir):
     """Files taken in path order while a size budget lasts; one too large is skipped and the next tried.
 
-    The running sum depends on what was skipped, so it is a fold over a repository's files in order.
+    The running sum depends on what was skipped, so it is a fold over a repository's files in order; a
+    file is a slim struct there, its text stays behind.
     """
     f = source(spark, sf_dir).filter("text is not null").select("repository_id", F.struct("path", "file_id", F.length("text").alias("size")).alias("x"))
     packed = f.groupBy("repository_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
