@@ -42,7 +42,7 @@ def advisory_severity(severity: Column) -> Column:
         severity,
         lambda s: F.when(F.startswith(F.coalesce(s["score"], F.lit("")), F.lit("CVSS:4.0/")), F.element_at(F.create_map(*[F.lit(x) for p in {"critical": 9.0, "high": 7.0, "medium": 4.0, "low": 0.1, "unknown": 0.0}.items() for x in p]), cvss4_band(s["score"])))
         .when(F.startswith(F.coalesce(s["score"], F.lit("")), F.lit("CVSS:3.")), cvss3_score(s["score"]))
-        .otherwise(F.try_to_number(F.trim(s["score"]), F.lit("99.9")).cast("double")),
+        .otherwise(F.when(F.trim(s["score"]).rlike(r"^[0-9]+(?:\.[0-9]+)?$"), F.trim(s["score"]).try_cast("double"))),
     )
     return score_band(F.coalesce(F.array_max(scores), F.lit(0.0)))
 

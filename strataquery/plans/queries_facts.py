@@ -485,6 +485,15 @@ select repository_id, raw, case when n = 1 then path end as path, case when n =
     "registry_longest_prefix": "with r(prefix, registry) as (values " + ", ".join(f"('{p}', '{g}')" for p, g in ROUTES) + ") select p_partkey, arg_max(registry, length(prefix)) as registry from part join r on starts_with(lower(p_name), prefix) group by p_partkey",
     "advisory_gaps": """with x as (select record_id, unnest(affected) as f from advisories), e as (select distinct record_id, lower(f.ecosystem) as ecosystem, lower(f.name) as package from x where f.name is not null),
 d as (select distinct ecosystem, package from e where record_id % 3 = 0) select e.* from e where not exists (select 1 from d where d.ecosystem = e.ecosystem and d.package = e.package)""",
+    "advisory_severities": """with s as (select record_id, unnest(severity) as e from advisories), t as (select record_id, trim(e.score) as t, starts_with(e.score, 'CVSS:3.') as vector from s),
+m as (select *, list_extract([0.85, 0.62, 0.55, 0.2], strpos('NALP', regexp_extract(t, '/AV:([A-Z])', 1)))::double as av, list_extract([0.77, 0.44], strpos('LH', regexp_extract(t, '/AC:([A-Z])', 1)))::double as ac, list_extract([0.85, 0.62], strpos('NR', regexp_extract(t, '/UI:([A-Z])', 1)))::double as ui,
+  regexp_extract(t, '/S:([A-Z])', 1) = 'C' as changed, strpos('NLH', regexp_extract(t, '/PR:([A-Z])', 1)) as p, list_extract([0.56, 0.22, 0.0], strpos('HLN', regexp_extract(t, '/C:([A-Z])', 1)))::double as c, list_extract([0.56, 0.22, 0.0], strpos('HLN', regexp_extract(t, '/I:([A-Z])', 1)))::double as i, list_extract([0.56, 0.22, 0.0], strpos('HLN', regexp_extract(t, '/A:([A-Z])', 1)))::double as a from t where vector),
+n as (select *, case when changed then [0.85, 0.68, 0.5][p] else [0.85, 0.62, 0.27][p] end::double as pr, 1 - (1 - c) * (1 - i) * (1 - a) as iss from m),
+q as (select *, case when changed then 7.52 * (iss - 0.029) - 3.25 * pow(iss - 0.02, 15) else 6.42 * iss end as impact from n),
+x as (select record_id, case when impact <= 0 then 0.0 else ceil(least(case when changed then 1.08 else 1.0 end * (impact + 8.22 * av * ac * pr * ui), 10.0) * 10) / 10 end as score from q
+  union all select record_id, case when regexp_matches(t, '^[0-9]+(?:\\.[0-9]+)?$') then cast(t as double) end from t where not coalesce(vector, false)),
+w as (select record_id, coalesce(max(score), 0) as s from x group by record_id)
+select a.record_id, case when s >= 9 then 'critical' when s >= 7 then 'high' when s >= 4 then 'medium' when s > 0 then 'low' else 'unknown' end as band from advisories a left join w using (record_id)""",
     "finding_dedup": f"""with {_O}, {_FIND}, g as (select advisory, repository, lower(package) as package, version, list_sort(list_distinct(list((usage_rank, path, line, relationship)))) as p from f group by all)
 select advisory, repository, package, version, cast(len(p) as bigint) as occurrences, p[1][2] as primary_path, cast(p[1][3] as bigint) as primary_line from g""",
     "finding_headlines": f"with {_O}, {_FIND} select severity, tool, count(*) as findings, count(distinct repository) as repositories from f group by all",
