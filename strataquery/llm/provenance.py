@@ -3,10 +3,13 @@
 Plan: one map reads each file once and leaves a slim row: what its path and content say by
 themselves, and the fingerprints of its normalized token stream.  Tokens are words and single signs
 without white space; k-grams of token hashes are winnowed, so any shared run of ``GRAM + WINDOW - 1``
-tokens shares a fingerprint.  A fingerprint is common when it stands in ``REPOSITORIES`` or more
-repositories, counted over the whole corpus after the fingerprints of a repository are made distinct
-(so boilerplate collapses before it is shuffled).  A file whose fingerprints are mostly common ones is
-a copy, under whatever path; hot fingerprints are salted in the join back to the files.
+tokens shares a fingerprint.  A file is a copy if ``SHARE`` of its fingerprints stand together in one
+other file, and the files that hold them so lie in ``REPOSITORIES`` or more repositories, its own
+among them; so how large the corpus is does not matter, and idioms spread over many files make no
+copy.  Equal fingerprint sets are one set from the start, so exact copies never make pairs.  Of each
+set only its rarest fingerprints look for partners, as many as a partner cannot miss entirely
+(prefix filter: no pair is lost); a set with too many fingerprints of its own looks for none.  Each
+pair found is then checked over the whole sets.  Hot fingerprints are salted in the joins.
 
 By themselves, files are told by: the names that lock files and third-party folders have (whole path
 segments only), a header comment that states generation or another project's authorship, the shape of
@@ -19,6 +22,7 @@ delivered twice counts once, flagged if any copy is; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -30,7 +34,7 @@ from ..operators.skew import replicated, salted
 from ..session import Scratch, spread, table
 from .textarrays import LETTER, NUMBER, SPACE, blocks, classes, codepoints, prefix_hashes, span_hashes
 
-#: Tokens of a gram, grams of a winnowing window, repositories of a common fingerprint, share of a copy.
+#: Tokens of a gram, grams of a winnowing window, repositories that hold a copy, share of a copy.
 GRAM, WINDOW, REPOSITORIES, SHARE = 20, 15, 2, 0.75
 #: Names of lock files.
 LOCKS = frozenset(
@@ -128,6 +132,25 @@ def fingerprints(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> li
     return out
 
 
+def copied(seen: DataFrame, scratch: Scratch, repositories: int, share: float) -> DataFrame:
+    """``s`` of every fingerprint set that is a copy; ``seen`` has file_id, repo, s and prints."""
+    # A file delivered twice counts once, so it is in one repository only.
+    holders = seen.filter(F.size("prints") > 0).groupBy("file_id", "s").agg(F.min(F.coalesce("repo", F.lit(-1))).alias("repo")).select("s", "repo").distinct()
+    sets = scratch.save(seen.filter(F.size("prints") > 0).groupBy("s").agg(F.any_value("prints").alias("prints")), "sets")
+    posts = sets.select("s", F.size("prints").alias("size"), F.explode("prints").alias("p"))
+    shared = posts.groupBy("p").agg(F.count("*").alias("n")).filter("n > 1")
+    rows, heavy = salted(posts, "p", "s", posts.count())
+    # Fingerprints of one set only can't meet a partner; they are the rarest, so they use up the prefix.
+    met = scratch.save(rows.join(replicated(shared, "p", heavy), ["p", "_salt"]).select("s", "size", "p", "n", "_salt"), "met")
+    prefix = met.groupBy("s", "size").agg(F.array_sort(F.collect_list(F.struct("n", "p"))).alias("by")).withColumn("take", (F.size("by") - F.ceil(F.lit(share) * F.col("size")) + 1).cast("int")).filter("take > 0")
+    seek = replicated(prefix.select(F.col("s").alias("a"), F.explode(F.slice("by", F.lit(1), F.col("take"))).alias("x")).select("a", F.col("x.p").alias("p")), "p", heavy)
+    pairs = seek.join(met.select("p", "_salt", F.col("s").alias("b")), ["p", "_salt"]).filter("a <> b").select("a", "b").distinct()
+    one = lambda c: sets.select(F.col("s").alias(c), F.col("prints").alias(f"p{c}"))
+    sure = pairs.join(one("a"), "a").join(one("b"), "b").filter(F.size(F.array_intersect("pa", "pb")) >= share * F.size("pa")).select("a", "b")
+    where = sure.join(holders.select(F.col("s").alias("b"), "repo"), "b").select("a", "repo").unionByName(holders.select(F.col("s").alias("a"), "repo"))
+    return where.distinct().groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= repositories).select(F.col("a").alias("s"))
+
+
 def classify(files: DataFrame, scratch: Scratch, repositories: int = REPOSITORIES, share: float = SHARE) -> DataFrame:
     """``file_id, kind`` of every file: generated, minified, vendored, data or handwritten."""
 
@@ -137,20 +160,19 @@ def classify(files: DataFrame, scratch: Scratch, repositories: int = REPOSITORIE
             for rows, texts in blocks(b, 3):
                 said = [by_path(paths[i]) or by_content(paths[i], t) for i, t in zip(rows.tolist(), texts)]
                 prints = fingerprints(texts)
+                # The name of a set: a digest of its sorted fingerprints.
+                names = [hashlib.blake2b(p.tobytes(), digest_size=16).digest() for p in prints]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in rows.tolist()], pa.int64()), pa.array([repos[i] for i in rows.tolist()], pa.int64()), pa.array(said, pa.string()), pa.array([p.tolist() for p in prints], pa.list_(pa.int64()))],
-                    names=["file_id", "repo", "said", "prints"],
+                    [pa.array([ids[i] for i in rows.tolist()], pa.int64()), pa.array([repos[i] for i in rows.tolist()], pa.int64()), pa.array(said, pa.string()), pa.array(names, pa.binary()), pa.array([p.tolist() for p in prints], pa.list_(pa.int64()))],
+                    names=["file_id", "repo", "said", "s", "prints"],
                 )
 
-    seen = spread(files.select(F.col("file_id").cast("long"), F.col("repository_id").cast("long"), F.col("path").cast("string"), F.col("content").cast("string"))).mapInArrow(run, "file_id long, repo long, said string, prints array<long>")
+    seen = spread(files.select(F.col("file_id").cast("long"), F.col("repository_id").cast("long"), F.col("path").cast("string"), F.col("content").cast("string"))).mapInArrow(run, "file_id long, repo long, said string, s binary, prints array<long>")
     seen = scratch.save(seen, "seen")
-    # Copies of a file have equal ids: its verdict and prints are taken once.
-    prints = seen.select("file_id", "repo", F.explode("prints").alias("p")).distinct()
-    common = prints.select("p", F.coalesce("repo", F.lit(-1)).alias("repo")).distinct().groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") >= repositories).select("p")
-    rows, heavy = salted(prints, "p", "file_id", prints.count())
-    copied = rows.join(replicated(common, "p", heavy), ["p", "_salt"], "left_semi").groupBy("file_id").agg(F.count("*").alias("common"))
-    per = seen.groupBy("file_id").agg(F.max("said").alias("said"), F.max(F.size("prints")).alias("prints"))
-    return per.join(copied, "file_id", "left").select("file_id", F.coalesce("said", F.when(F.coalesce("common", F.lit(0)) >= share * F.col("prints"), F.when(F.col("prints") > 0, "vendored")), F.lit("handwritten")).alias("kind"))
+    copies = copied(seen, scratch, repositories, share).withColumn("copy", F.lit(True))
+    rows, heavy = salted(seen.select("file_id", "said", "s"), "s", "file_id", seen.count())
+    per = rows.join(replicated(copies, "s", heavy), ["s", "_salt"], "left").groupBy("file_id").agg(F.max("said").alias("said"), F.max("copy").alias("copy"))
+    return per.select("file_id", F.coalesce("said", F.when(F.col("copy"), "vendored"), F.lit("handwritten")).alias("kind"))
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:

@@ -209,6 +209,24 @@ def test_origins(spark, scratch):
     assert kinds(spark, scratch, []) == {}
 
 
+def test_idioms_of_many_files_make_no_copy(spark, scratch):
+    # Every piece of file 1 stands in some other repository, but no other file has most of it.
+    pieces = [source(100 + k, 12) for k in range(8)]
+    data = [(1, 1, "a/x.py", "\n".join(pieces))] + [(10 + k, 10 + k, "b/y.py", source(200 + k, 30) + "\n" + p) for k, p in enumerate(pieces)]
+    assert set(kinds(spark, scratch, data).values()) == {"handwritten"}
+
+
+def test_copies_against_brute_force(spark, scratch):
+    rng = random.Random(9)
+    pieces = [source(300 + k, 8) for k in range(12)]
+    data = [(i, rng.randrange(6), f"a/f{i}.py", "\n".join(rng.sample(pieces, rng.randrange(1, 6)) + [source(400 + i, rng.randrange(1, 6))])) for i in range(60)]
+    data += [(60 + i, rng.randrange(6), f"b/f{i}.py", rng.choice(data)[3]) for i in range(20)]
+    sets = [set(p.tolist()) for p in provenance.fingerprints([d[3] for d in data])]
+    want = {d[0] for d, s in zip(data, sets) if any(e[1] != d[1] and len(s & t) >= 0.75 * len(s) for e, t in zip(data, sets))}
+    got = {k for k, v in kinds(spark, scratch, data).items() if v == "vendored"}
+    assert got == want and 0 < len(want) < len(data)
+
+
 def test_fingerprints_survive_layout():
     a, b = provenance.fingerprints(["foo ( bar ) ; " * 30, "foo(bar);\n" * 30])
     assert a.tolist() == b.tolist() and len(a)
