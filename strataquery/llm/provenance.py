@@ -12,9 +12,10 @@ set only its rarest fingerprints look for partners, as many as a partner cannot
 pair found is then checked over the whole sets.  Hot fingerprints are salted in the joins.
 
 By themselves, files are told by: the names that lock files and third-party folders have (whole path
-segments only), a header comment that states generation or another project's authorship, the shape of
+segments only), a header comment that states generation, the shape of
 squeezed text (long lines with hardly a blank), and the share of lines that hold only literals.
-Mentions of such headers in prose, strings or names decide nothing.
+Mentions of such headers in prose, strings or names decide nothing.  Notices of copyright
+or licence decide nothing either, as a project's own files bear them too.
 
 Defined results: null contents are judged by the path alone; empty texts are hand-written; a file
 delivered twice counts once, flagged if any copy is; other columns are not read.
@@ -47,10 +48,6 @@ _GENERATED = re.compile(
     _MARK + r"(?:Code generated (?:by .*)?DO NOT EDIT|<auto-generated\b|@generated\b|AUTO-?GENERATED FILE\b|(?:This file (?:is|was) )?(?:auto(?:matically)?[ -]?)?generated (?:by|from|with)\b.*(?:do not (?:edit|modify)|;)|(?:This file (?:is|was) )?auto(?:matically)?[ -]?(?:generated|created|produced|written) by\b|\S+ output, .*machine[ -](?:written|generated))",
     re.I | re.M,
 )
-_FOREIGN_HEAD = re.compile(
-    _MARK + r"(?:Vendored from \S|(?:This file is part of \S+ \(upstream release)|Copyright (?:\(C\) )?(?:\d{4}(?:-\d{4})?,? )?.*(?:Software Foundation|contributors\b)|\S+ v?\d[\w.-]* - \(c\) \d{4} The .* Authors\b|\S+ v?\d[\w.-]*, redistributed under\b)",
-    re.M,
-)
 _LITERAL = re.compile(r"""^[ \t]*(?:(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)[lLfF]?|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|null|None|nil|true|false|True|False)[ \t]*[,+]?[ \t]*|[\[\](){}],?[ \t]*)+;?$""")
 _LINES = re.compile(r"\r\n|\n|\r")
 #: How many leading lines a header may stand in.
@@ -74,8 +71,6 @@ def by_content(path: str | None, text: str | None) -> str | None:
     head = "\n".join(lines[:HEAD])
     if _GENERATED.search(head):
         return "generated"
-    if _FOREIGN_HEAD.search(head):
-        return "vendored"
     full = [x for x in lines if x.strip()]
     if not full:
         return None

@@ -227,6 +227,12 @@ def test_copies_against_brute_force(spark, scratch):
     assert got == want and 0 < len(want) < len(data)
 
 
+def test_notices_of_own_files_decide_nothing(spark, scratch):
+    notices = ["# Copyright 2024 own contributors\n", "# own 1.2.0 - (c) 2024 The own Authors. MIT licensed.\n", "# Copyright 2016-2021 Own Software Foundation\n"]
+    data = [(i, 1, f"a/n{i}.py", h + source(500 + i)) for i, h in enumerate(notices)] + [(9, 1, "a/c.py", notices[0] + source(510)), (10, 2, "b/c.py", source(510))]
+    assert kinds(spark, scratch, data) == {0: "handwritten", 1: "handwritten", 2: "handwritten", 9: "vendored", 10: "vendored"}
+
+
 def test_fingerprints_survive_layout():
     a, b = provenance.fingerprints(["foo ( bar ) ; " * 30, "foo(bar);\n" * 30])
     assert a.tolist() == b.tolist() and len(a)
