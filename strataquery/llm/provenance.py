@@ -12,9 +12,9 @@ set only its rarest fingerprints look for partners, as many as a partner cannot
 pair found is then checked over the whole sets.  Hot fingerprints are salted in the joins.
 
 By themselves, files are told by: the names that lock files and third-party folders have (whole path
-segments only), a header comment that states generation, the shape of
-squeezed text (long lines with hardly a blank), and the share of lines that hold only literals.
-Mentions of such headers in prose, strings or names decide nothing.  Notices of copyright
+segments only), a header comment that states generation, wherever it stands before the first code, the
+shape of squeezed text (long lines with hardly a blank), and the share of lines that hold only
+literals.  Mentions of such headers in prose, strings or names decide nothing.  Notices of copyright
 or licence decide nothing either, as a project's own files bear them too.
 
 Defined results: null contents are judged by the path alone; empty texts are hand-written; a file
@@ -50,8 +50,8 @@ _GENERATED = re.compile(
 )
 _LITERAL = re.compile(r"""^[ \t]*(?:(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)[lLfF]?|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|null|None|nil|true|false|True|False)[ \t]*[,+]?[ \t]*|[\[\](){}],?[ \t]*)+;?$""")
 _LINES = re.compile(r"\r\n|\n|\r")
-#: How many leading lines a header may stand in.
-HEAD = 12
+#: Comments and blanks before the first code; prologues of PHP, XML and strict JavaScript count as blank.
+_LEAD = re.compile(r"""(?:[\s\ufeff]++|(?:#|//|--|;)[^\r\n]*+|/\*(?s:.)*?(?:\*/|\Z)|<!--(?s:.)*?(?:-->|\Z)|<\?xml[^>]*+>|<\?php\b|"use strict";?|'use strict';?)*+""")
 
 
 def by_path(path: str | None) -> str | None:
@@ -68,8 +68,7 @@ def by_content(path: str | None, text: str | None) -> str | None:
     if not text:
         return None
     lines = _LINES.split(text)
-    head = "\n".join(lines[:HEAD])
-    if _GENERATED.search(head):
+    if _GENERATED.search("\n".join(_LINES.split(_LEAD.match(text)[0]))):
         return "generated"
     full = [x for x in lines if x.strip()]
     if not full:

@@ -233,6 +233,15 @@ def test_notices_of_own_files_decide_nothing(spark, scratch):
     assert kinds(spark, scratch, data) == {0: "handwritten", 1: "handwritten", 2: "handwritten", 9: "vendored", 10: "vendored"}
 
 
+def test_generated_header_after_a_long_licence():
+    licence = "\n".join(f"Line {i} of a licence." for i in range(40))
+    said = "// Code generated by z. DO NOT EDIT.\n\npackage a\n"
+    assert provenance.by_content("a/x.go", licence.replace("Line", "// Line") + "\n\n" + said) == "generated"
+    assert provenance.by_content("a/x.go", f"/*\n{licence}\n*/\r\n{said}") == "generated"
+    assert provenance.by_content("a/x.js", '"use strict";\n' + licence.replace("Line", "// Line") + "\n// @generated\nf();\n") == "generated"
+    assert provenance.by_content("a/x.go", "package a\n\nconst t = `\n" + said + "`\n") is None
+
+
 def test_fingerprints_survive_layout():
     a, b = provenance.fingerprints(["foo ( bar ) ; " * 30, "foo(bar);\n" * 30])
     assert a.tolist() == b.tolist() and len(a)
