@@ -48,7 +48,8 @@ _GENERATED = re.compile(
     _MARK + r"(?:Code generated (?:by .*)?DO NOT EDIT|<auto-generated\b|@generated\b|AUTO-?GENERATED FILE\b|(?:This file (?:is|was) )?(?:auto(?:matically)?[ -]?)?generated (?:by|from|with)\b.*(?:do not (?:edit|modify)|;)|(?:This file (?:is|was) )?auto(?:matically)?[ -]?(?:generated|created|produced|written) by\b|\S+ output, .*machine[ -](?:written|generated))",
     re.I | re.M,
 )
-_LITERAL = re.compile(r"""^[ \t]*(?:(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)[lLfF]?|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|null|None|nil|true|false|True|False)[ \t]*[,+]?[ \t]*|[\[\](){}],?[ \t]*)+;?$""")
+#: Each piece of a line is taken once and for all (``?>``, ``*+``), so a line costs time in proportion to its length.
+_LITERAL = re.compile(r"""^[ \t]*+(?>(?>[-+]?(?>0[xX][0-9a-fA-F]++|\d[\d_]*+(?:\.\d++)?(?:[eE][-+]?\d++)?)[lLfF]?|"(?>[^"\\]++|\\.)*+"|'(?>[^'\\]++|\\.)*+'|null|None|nil|true|false|True|False)[ \t]*+[,+]?[ \t]*+|[\[\](){}],?[ \t]*+)++;?$""")
 _LINES = re.compile(r"\r\n|\n|\r")
 #: Comments and blanks before the first code; prologues of PHP, XML and strict JavaScript count as blank.
 _LEAD = re.compile(r"""(?:[\s\ufeff]++|(?:#|//|--|;)[^\r\n]*+|/\*(?s:.)*?(?:\*/|\Z)|<!--(?s:.)*?(?:-->|\Z)|<\?xml[^>]*+>|<\?php\b|"use strict";?|'use strict';?)*+""")
@@ -77,7 +78,7 @@ def by_content(path: str | None, text: str | None) -> str | None:
     longest = max(map(len, full))
     blank = sum(x.count(" ") + x.count("\t") for x in full)
     code = not (path or "").endswith(".json")
-    literal = sum(len(x) for x in full if len(x) < 20_000 and _LITERAL.match(x))
+    literal = sum(len(x) for x in full if _LITERAL.match(x))
     if code and literal >= 0.5 * chars and literal > 200:
         return "data"
     if longest > 300 and chars / len(full) > 110:

@@ -242,6 +242,13 @@ def test_generated_header_after_a_long_licence():
     assert provenance.by_content("a/x.go", "package a\n\nconst t = `\n" + said + "`\n") is None
 
 
+def test_data_lines_of_any_length():
+    for n in (15_000, 30_000, 3_000_000):
+        assert provenance.by_content("a/x.js", "[\n" + ", ".join(["123"] * (n // 5)) + "\n]\n") == "data"
+    # A line that fails at its end costs no more than one that fits.
+    assert provenance.by_content("a/x.js", '"a" + 1 ' * 100_000 + "x") is None
+
+
 def test_fingerprints_survive_layout():
     a, b = provenance.fingerprints(["foo ( bar ) ; " * 30, "foo(bar);\n" * 30])
     assert a.tolist() == b.tolist() and len(a)
