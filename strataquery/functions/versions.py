@@ -1,7 +1,8 @@
 """Versions as sortable keys, ranges over them, and what follows from both.
 
 A key is a string that sorts as the version does, so comparing, ranging and taking minima stay plain
-column expressions.  Numbers are padded to ten digits.  ``semver_key`` covers npm, Cargo, Go and
+column expressions.  Numbers of any length sort by a prefix that counts their digits; all parts count,
+trailing zeros apart.  ``semver_key`` covers npm, Cargo, Go and
 NuGet precedence (a pre-release sorts before its release, numeric identifiers before words);
 ``maven_key`` ranks the well-known qualifiers, ``sp`` after the release; ``pep440_key`` orders dev,
 alpha, beta, candidate, release and post.  ``loose_parts`` reads any text as its runs of digits.
@@ -12,11 +13,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-DIGITS = 10
 
-
-def _pad(c: Column) -> Column:
-    return F.lpad(F.regexp_replace(c, "^0+(?=[0-9])", ""), DIGITS, "0")
+def _counted(c: Column) -> Column:
+    """A number behind its count of digits, and that behind its own: 7 is 117, 25 is 1225."""
+    plain = F.regexp_replace(c, "^0+(?=[0-9])", "")
+    size = F.length(plain).cast("string")
+    return F.concat(F.length(size).cast("string"), size, plain)
 
 
 def loose_parts(version: Column) -> Column:
@@ -27,39 +29,39 @@ def loose_parts(version: Column) -> Column:
 def loose_key(version: Column) -> Column:
     """Numeric runs, trailing zeros apart: equal keys for 1.2 and 1.2.0."""
     parts = F.regexp_extract_all(version, F.lit("[0-9]+"), F.lit(0))
-    key = F.array_join(F.transform(parts, _pad), ".")
-    return F.regexp_replace(key, "(?:^|\\.)(?:0{%d}\\.)*0{%d}$" % (DIGITS, DIGITS), "")
+    return F.regexp_replace(F.array_join(F.transform(parts, _counted), "."), r"(?:(?:^|\.)110)+$", "")
 
 
-def _core(version: Column, width: int) -> Column:
+def _core(version: Column) -> Column:
+    """The leading dotted numbers, closed by a sign that sorts before the dot of a further part."""
     plain = F.regexp_replace(F.trim(version), "^[vV=]+", "")
-    numbers = F.regexp_extract_all(F.regexp_extract(plain, r"^[0-9]+(?:\.[0-9]+)*", 0), F.lit("[0-9]+"), F.lit(0))
-    return F.array_join(F.transform(F.slice(F.concat(numbers, F.array_repeat(F.lit("0"), width)), 1, width), _pad), ".")
+    numbers = F.regexp_replace(F.regexp_extract(plain, r"^[0-9]+(?:\.[0-9]+)*", 0), r"(?:(?:^|\.)0+)+$", "")
+    return F.concat(F.array_join(F.transform(F.regexp_extract_all(numbers, F.lit("[0-9]+"), F.lit(0)), _counted), "."), F.lit("!"))
 
 
-def semver_key(version: Column, width: int = 4) -> Column:
+def semver_key(version: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(F.trim(version), "^[vV=]+", ""), r"\+.*$", "")
     pre = F.regexp_extract(plain, r"^[0-9.]*-(.+)$", 1)
-    idents = F.transform(F.split(pre, r"\."), lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("0"), _pad(x))).otherwise(F.concat(F.lit("1"), x)))
-    return F.concat(_core(plain, width), F.when(pre == "", "~").otherwise(F.concat(F.lit("-"), F.array_join(idents, "!"))))
+    idents = F.transform(F.split(pre, r"\."), lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("0"), _counted(x))).otherwise(F.concat(F.lit("1"), x)))
+    return F.concat(_core(plain), F.when(pre == "", "~").otherwise(F.concat(F.lit("-"), F.array_join(idents, "!"))))
 
 
-def maven_key(version: Column, width: int = 5) -> Column:
+def maven_key(version: Column) -> Column:
     low = F.lower(F.trim(version))
     qualifier = F.regexp_extract(low, r"^[0-9.]*[-.]?([a-z]*)", 1)
     number = F.regexp_extract(low, r"^[0-9.]*[-.]?[a-z]+[-.]?([0-9]*)", 1)
     rank = F.when(qualifier.isin("alpha", "a"), "1").when(qualifier.isin("beta", "b"), "2").when(qualifier.isin("milestone", "m"), "3").when(qualifier.isin("rc", "cr"), "4").when(qualifier == "snapshot", "5").when(qualifier.isin("", "ga", "final", "release"), "6").when(qualifier == "sp", "7").otherwise(F.concat(F.lit("8"), qualifier))
-    return F.concat(_core(F.regexp_extract(low, r"^[0-9.]*[0-9]", 0), width), F.lit("-"), rank, F.lit("."), _pad(F.when(number == "", "0").otherwise(number)))
+    return F.concat(_core(F.regexp_extract(low, r"^[0-9.]*[0-9]", 0)), F.lit("-"), rank, F.lit("."), _counted(F.when(number == "", "0").otherwise(number)))
 
 
-def pep440_key(version: Column, width: int = 5) -> Column:
+def pep440_key(version: Column) -> Column:
     low = F.regexp_replace(F.regexp_replace(F.lower(F.trim(version)), r"^v", ""), r"\+.*$", "")
     epoch = F.regexp_extract(low, r"^([0-9]+)!", 1)
     body = F.regexp_replace(low, r"^[0-9]+!", "")
     tag = F.regexp_extract(body, r"^[0-9.]*?[-_.]?(dev|alpha|beta|preview|post|pre|rev|rc|a|b|c|r)[-_.]?[0-9]*", 1)
     number = F.regexp_extract(body, r"^[0-9.]*?[-_.]?(?:dev|alpha|beta|preview|post|pre|rev|rc|a|b|c|r)[-_.]?([0-9]*)", 1)
     rank = F.when(tag == "dev", "0").when(tag.isin("a", "alpha"), "1").when(tag.isin("b", "beta"), "2").when(tag.isin("rc", "c", "pre", "preview"), "3").when(tag == "", "4").otherwise("5")
-    return F.concat(_pad(F.when(epoch == "", "0").otherwise(epoch)), F.lit("!"), _core(F.regexp_extract(body, r"^[0-9]+(?:\.[0-9]+)*", 0), width), F.lit("-"), rank, F.lit("."), _pad(F.when(number == "", "0").otherwise(number)))
+    return F.concat(_counted(F.when(epoch == "", "0").otherwise(epoch)), F.lit("!"), _core(F.regexp_extract(body, r"^[0-9]+(?:\.[0-9]+)*", 0)), F.lit("-"), rank, F.lit("."), _counted(F.when(number == "", "0").otherwise(number)))
 
 
 def version_key(ecosystem: Column, version: Column) -> Column:

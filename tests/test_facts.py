@@ -36,6 +36,21 @@ def test_equal_versions(spark):
     assert one(spark, versions.loose_key(F.lit("1.2")) == versions.loose_key(F.lit("1.2.0.0")))
 
 
+def test_long_versions_keep_their_order(spark):
+    stamps = ["0.0.0-20210315123456", "0.0.0-20210315125959", "0.0.0-120210315125959"]
+    for eco, ordered in (
+        ("npm", [*stamps, "0.0.0", "0.0.0.0.7", "0.0.1", "1", "1.0.0.0.1-rc", "1.0.0.0.1", "1.0.0.0.2", "1.9", "1.12345678901", "1.12345678902", "1.112345678901"]),
+        ("maven", ["1.2.3.4.5-rc1", "1.2.3.4.5", "1.2.3.4.5.6", "1.2.3.4.5.7", "1.2.3.5-alpha-12345678901", "1.2.3.5-alpha-12345678902", "1.2.3.5", "1.20210315123456", "1.20210315125959"]),
+        ("pypi", ["1.2.3.4.5rc1", "1.2.3.4.5", "1.2.3.4.5.6", "1.2.3.4.5.7", "1.20210315123456", "1.20210315125959", "1!0"]),
+    ):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(ordered)], "i int, v string").select("i", versions.version_key(F.lit(eco), F.col("v")).alias("k"))
+        assert [r.i for r in df.orderBy("k").collect()] == list(range(len(ordered))), eco
+        assert df.select("k").distinct().count() == len(ordered), eco
+    assert one(spark, versions.loose_key(F.lit("1.20210315123456")) < versions.loose_key(F.lit("1.20210315125959")))
+    assert one(spark, versions.maven_key(F.lit("1.2.3.4.5.6.0.0")) == versions.maven_key(F.lit("1.2.3.4.5.6")))
+    assert one(spark, versions.version_key(F.lit("npm"), F.lit(None).cast("string"))) is None
+
+
 EV = "array<struct<introduced:string,fixed:string,last_affected:string,`limit`:string>>"
 
 
