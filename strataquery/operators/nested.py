@@ -177,9 +177,9 @@ def parse_object(text: str | None) -> dict | None:
     if not text:
         return None
     try:
-        doc = json.loads(text, parse_constant=_refuse)
+        doc = json.loads(text, parse_constant=_refuse, parse_int=str)
         if isinstance(doc, str):
-            doc = json.loads(doc, parse_constant=_refuse)
+            doc = json.loads(doc, parse_constant=_refuse, parse_int=str)
     except (ValueError, RecursionError):
         return None
     return doc if isinstance(doc, dict) else None

@@ -115,3 +115,9 @@ def test_ordered_index_is_total(spark, scratch):
     got = ordered_index(df, ["g", "id"], scratch, "x").orderBy("idx").collect()
     assert [(r.g, r.id) for r in got] == sorted((i % 7, i) for i in range(1000)) and [r.idx for r in got] == list(range(1, 1001))
     assert ordered_index(df.limit(0), ["g", "id"], scratch, "y").count() == 0
+
+
+def test_reports_with_long_integers():
+    text = '{"runs": [{"n": ' + "1" * 5000 + "}]}"
+    assert list(nested.parse_object(text)) == list(nested.parse_object(json.dumps(text))) == ["runs"]
+    assert nested.parse_object("1" * 5000) is None
