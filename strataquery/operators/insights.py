@@ -53,7 +53,10 @@ def file_metrics(files: DataFrame) -> DataFrame:
     blank = F.size(F.filter(F.split(body, "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"\s", " ")) != ""))
     branches = F.when(lang == "Python", branch_points(text, "Python")).when(lang == "Go", branch_points(text, "Go")).otherwise(branch_points(text, ""))
     kept = files.filter(F.col("content").isNotNull() & (lang != ""))
-    return kept.select("repository_id", "path", lang.alias("language"), lines.cast("long").alias("lines"), blank.cast("long").alias("nonblank"), branches.alias("branches"))
+    known = ["file_id"] if "file_id" in files.columns else []
+    out = kept.select(*known, "repository_id", "path", lang.alias("language"), lines.cast("long").alias("lines"), blank.cast("long").alias("nonblank"), branches.alias("branches"))
+    # A file delivered twice counts once; its text is gone before anything is shuffled.
+    return out.distinct().drop("file_id") if known else out
 
 
 def metric_rollup(per_file: DataFrame) -> DataFrame:
@@ -83,3 +86,17 @@ def suffix_reconcile(reported: DataFrame, indexed: DataFrame) -> DataFrame:
     hits = wanted.join(have, ["repository_id", "tail"]).groupBy("repository_id", "raw", "cut").agg(F.count("*").alias("n"), F.min("path").alias("path"))
     best = hits.groupBy("repository_id", "raw").agg(F.min(F.struct("cut", "n", "path")).alias("b"))
     return reported.select("repository_id", "raw").distinct().join(best, ["repository_id", "raw"], "left").select("repository_id", "raw", F.when(F.col("b.n") == 1, F.col("b.path")).alias("path"), F.when(F.col("b.n") == 1, F.when(F.col("b.cut") == 0, "exact").otherwise("suffix")).otherwise("unresolved").alias("state"))
+
+
+def quarantine(observations: DataFrame, repositories: DataFrame, indexed: DataFrame) -> DataFrame:
+    """``verdict`` of imported rows: measured, or why they can't be placed.
+
+    ``observations``: repository_id, revision, path; ``repositories``: repository_id, indexed_commit;
+    ``indexed``: repository_id and path of the files known.  A row of another revision than the indexed
+    one is quarantined whole; a path the index doesn't have leaves its row unresolved.
+    """
+    known = indexed.select("repository_id", "path").distinct().withColumn("_known", F.lit(True))
+    j = observations.join(repositories, "repository_id", "left").join(known, ["repository_id", "path"], "left")
+    placed = F.when(F.coalesce("path", F.lit("")) == "", "measured").when(F.col("_known"), "measured").otherwise("unresolved_path")
+    verdict = F.when(F.col("indexed_commit").isNull(), "unknown_repository").when(F.coalesce("revision", F.lit("")) != F.col("indexed_commit"), "quarantined").otherwise(placed)
+    return j.withColumn("verdict", verdict).drop("_known", "indexed_commit")

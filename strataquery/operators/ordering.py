@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import Scratch
 
@@ -25,6 +25,6 @@ def ordered_index(df: DataFrame, order: list[str], scratch: Scratch, name: str,
     )
     kept = scratch.save(placed, name)
     sizes = kept.groupBy("_p").agg(F.count("*").alias("_n"))
-    # One row for each partition: bounded by the partition count, whatever the data.
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    # One row for each partition, so one running sum: bounded by the partition count, whatever the data.
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return kept.join(F.broadcast(before), "_p").withColumn(out, F.col("_before") + F.col("_w") + 1).drop("_p", "_w", "_before")

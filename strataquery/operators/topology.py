@@ -78,3 +78,60 @@ def longest_root(files: DataFrame, roots: DataFrame) -> DataFrame:
     ups = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("root")))
     above = files.select("repository_id", "path", F.explode(ups).alias("u")).select("repository_id", "path", "u.depth", "u.root")
     return top_ranked(above.join(roots, ["repository_id", "root"]), ["repository_id", "path"], "depth")
+
+
+def import_verdicts(obs: DataFrame, most_days: int = 31) -> DataFrame:
+    """``verdict`` of runtime observations: accepted, or the first reason to refuse them."""
+    none = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    lo, hi = F.col("observed_from"), F.col("observed_to")
+    counts = (F.coalesce("request_count", F.lit(0)) < 0) | (F.coalesce("error_count", F.lit(0)) > F.coalesce("request_count", F.lit(0)))
+    return obs.withColumn("verdict", F.when(none("source_name"), "no source").when(none("target_name"), "no target").when(lo.isNull() | hi.isNull(), "no window").when(lo > hi, "window ends first").when(hi > lo + F.expr(f"INTERVAL {most_days} DAYS"), "window too long").when(counts, "bad counts").otherwise("accepted"))
+
+
+def assemble(components: DataFrame, connections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Connections whose both ends are components, and components without the external ones that none of them touches.
+
+    ``components``: id, external; ``connections``: source, target.
+    """
+    ids = components.select("id")
+    kept = connections.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    touched = kept.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("_t", F.lit(True))
+    return kept, components.join(touched, "id", "left").filter(F.col("_t") | ~F.col("external")).drop("_t")
+
+
+def neighborhood(connections: DataFrame, focus: DataFrame) -> DataFrame:
+    """``id, role`` of callers and callees of ``focus`` (``id``), and of what else these touch (context).
+
+    ``connections``: distinct source and target, no loops.
+    """
+    me = focus.select("id").distinct()
+    out = connections.join(me.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id"), F.lit("callee").alias("role"))
+    into = connections.join(me.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id"), F.lit("caller").alias("role"))
+    near = out.unionByName(into)
+    ends = F.explode(F.array(F.struct(F.col("source").alias("id"), F.col("target").alias("other")), F.struct(F.col("target").alias("id"), F.col("source").alias("other"))))
+    around = connections.select(ends.alias("e")).select("e.id", "e.other").join(near.select("id").distinct(), "id", "left_semi").select(F.col("other").alias("id")).distinct()
+    return near.unionByName(around.join(near, "id", "left_anti").join(me, "id", "left_anti").withColumn("role", F.lit("context")))
+
+
+def summary(components: DataFrame, connections: DataFrame) -> DataFrame:
+    """One row of counts over components (``id``, ``kind``, ``candidate``) and connections (``target``, ``state``, ``resolved``)."""
+    c = components.agg(F.count("*").alias("components"), F.count_if(F.col("kind") == "service").alias("services"), F.count_if(F.col("kind") != "service").alias("resources"))
+    known = components.select(F.col("id").alias("target"), F.coalesce("candidate", F.lit(False)).alias("_candidate"))
+    j = connections.join(known, "target", "left")
+    candidate = F.coalesce(F.col("_candidate"), F.lit(False))
+    loose = ~candidate & F.startswith("target", F.lit("runtime:")) & ~F.col("resolved")
+    n = j.agg(
+        F.count("*").alias("connections"), *[F.count_if(F.col("state") == s).alias(s) for s in ("confirmed", "runtime_only", "static_only")],
+        F.count_if(candidate).alias("candidates"), F.count_if(loose).alias("unresolved"), F.count_if(~candidate & ~loose).alias("resolved"), F.count_distinct("protocol").alias("protocols"),
+    )
+    return c.join(n)  # one row each
+
+
+def connection_predicate(protocol: str = "", origin: str = "", environment: str = "", text: str = "") -> Column:
+    """Filters of connections; ``origin`` is static, runtime or confirmed, ``text`` stands anywhere in what a connection shows."""
+    same = lambda c, v: F.lower(F.coalesce(F.col(c), F.lit(""))) == v.lower() if v else F.lit(True)
+    if origin not in ("", "static", "runtime", "confirmed"):
+        raise ValueError(f"unknown origin {origin}")
+    by_origin = {"": F.lit(True), "static": F.col("state") != "runtime_only", "runtime": F.col("state") != "static_only", "confirmed": F.col("state") == "confirmed"}[origin]
+    shown = F.lower(F.concat_ws(" ", "source", "target", "protocol", "state", "environment"))
+    return same("protocol", protocol) & by_origin & same("environment", environment) & (F.contains(shown, F.lit(text.strip().lower())) if text.strip() else F.lit(True))

@@ -17,43 +17,46 @@ def _t(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- insights
-def _obs(spark, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "insight_observations").distinct()
+def _obs(spark, sf_dir: str, *columns: str, where: str | Column | None = None) -> DataFrame:
+    """Observations once each: filtered and projected first, so that only what a query reads is shuffled."""
+    rows = _t(spark, sf_dir, "insight_observations")
+    return (rows if where is None else rows.filter(where)).select(*dict.fromkeys(["id", *columns])).distinct()
 
 
 IDENTITY = ["repository_id", "tool", "branch", "kind", "key", "path"]
 
 
 def insight_current_history(spark, sf_dir):
-    rows = insights.current_and_history(_obs(spark, sf_dir), IDENTITY, [F.desc("observed_at"), F.desc("id")])
+    rows = insights.current_and_history(_obs(spark, sf_dir, *IDENTITY, "observed_at"), IDENTITY, [F.desc("observed_at"), F.desc("id")])
     return rows.select("id", "place")
 
 
 def insight_latest_metrics(spark, sf_dir):
-    m = _obs(spark, sf_dir).filter("kind = 'metric' and state <> 'quarantined'")
+    m = _obs(spark, sf_dir, "repository_id", "key", "path", "observed_at", "value", "unit", where="kind = 'metric' and state <> 'quarantined'")
     return insights.latest(m, ["repository_id", "key", "path"], "observed_at", "id", ["value", "unit"]).withColumn("value", F.round("value", 6))
 
 
 def insight_facets(spark, sf_dir):
     from ..operators.search import facets
 
-    return facets(_obs(spark, sf_dir), ["kind", "tool", "severity", "language", "owner", "state", "confidence", "branch"])
+    fields = ["kind", "tool", "severity", "language", "owner", "state", "confidence", "branch"]
+    return facets(_obs(spark, sf_dir, *fields), fields)
 
 
 def insight_filter(spark, sf_dir):
-    o = _obs(spark, sf_dir).filter((F.lower("tool") == "secscan") & F.lower("severity").isin("error", "high", "critical") & F.col("path").like("internal/%") & (F.col("observed_at") >= F.lit("2025-03-01").cast("timestamp_ntz")) & (F.col("observed_at") < F.lit("2025-10-01").cast("timestamp_ntz")) & (F.col("state") != "quarantined"))
-    return o.select("id", "repository_id", "path")
+    return _obs(spark, sf_dir, "repository_id", "path", where=(F.lower("tool") == "secscan") & F.lower("severity").isin("error", "high", "critical") & F.col("path").like("internal/%") & (F.col("observed_at") >= F.lit("2025-03-01").cast("timestamp_ntz")) & (F.col("observed_at") < F.lit("2025-10-01").cast("timestamp_ntz")) & (F.col("state") != "quarantined"))
 
 
 def insight_compare_metrics(spark, sf_dir):
-    m = _obs(spark, sf_dir).filter("kind = 'metric' and value is not null").select("repository_id", "key", "path", F.month("observed_at").alias("m"), "value", "id")
+    m = _obs(spark, sf_dir, "repository_id", "key", "path", "observed_at", "value", where="kind = 'metric' and value is not null").select("repository_id", "key", "path", F.month("observed_at").alias("m"), "value", "id")
     half = lambda lo, hi: m.filter(F.col("m").between(lo, hi)).groupBy("repository_id", "key", "path").agg(F.max_by("value", "id").alias("value"))
     out = insights.compare_metrics(half(1, 6), half(7, 12), ["repository_id", "key", "path"])
     return out.withColumn("from_value", F.round("from_value", 6)).withColumn("to_value", F.round("to_value", 6))
 
 
 def insight_introduced_resolved(spark, sf_dir):
-    f = _obs(spark, sf_dir).filter("kind = 'finding'").select("repository_id", F.col("key"), F.coalesce("path", F.lit("")).alias("path"), F.month("observed_at").alias("m"))
+    # Both sides become sets of keys, so what was delivered twice needs no pass of its own.
+    f = _t(spark, sf_dir, "insight_observations").filter("kind = 'finding'").select("repository_id", F.col("key"), F.coalesce("path", F.lit("")).alias("path"), F.month("observed_at").alias("m"))
     return insights.introduced_resolved(f.filter("m <= 6"), f.filter("m > 6"), ["repository_id", "key", "path"])
 
 
@@ -61,19 +64,19 @@ BOUNDS = [("coverage.line", "lt", 60.0, "error"), ("coverage.line", "lte", 80.0,
 
 
 def threshold_evaluation(spark, sf_dir):
-    m = insights.latest(_obs(spark, sf_dir).filter("kind = 'metric'"), ["repository_id", "key"], "observed_at", "id", ["value"]).withColumnRenamed("key", "metric")
+    m = insights.latest(_t(spark, sf_dir, "insight_observations").filter("kind = 'metric'"), ["repository_id", "key"], "observed_at", "id", ["value"]).withColumnRenamed("key", "metric")
     marks = spark.createDataFrame(BOUNDS, "metric string, operator string, bound double, severity string")
     every = m.select("metric").distinct().join(marks.select("operator", "bound", "severity").distinct())  # a handful of metric names
     return insights.evaluate(m, every).select("repository_id", "metric", "operator", "bound", "severity", "breached")
 
 
 def retention_keep_n(spark, sf_dir):
-    runs = _obs(spark, sf_dir).groupBy("repository_id", "tool", "branch", "run_id").agg(F.max("observed_at").alias("at"))
+    runs = _t(spark, sf_dir, "insight_observations").groupBy("repository_id", "tool", "branch", "run_id").agg(F.max("observed_at").alias("at"))
     return insights.keep_newest(runs, ["repository_id", "tool", "branch"], [F.desc("at"), F.desc("run_id")], 3).select("repository_id", "tool", "branch", "run_id")
 
 
 def derived_metrics_rollup(spark, sf_dir):
-    files = _t(spark, sf_dir, "source_files").dropDuplicates(["file_id"])
+    files = _t(spark, sf_dir, "source_files")
     return insights.metric_rollup(insights.file_metrics(files))
 
 
@@ -112,8 +115,11 @@ def sarif_findings(spark, sf_dir):
 
 
 def sarif_export(spark, sf_dir):
-    f = _obs(spark, sf_dir).filter("kind = 'finding' and state = 'current'").select("repository_id", "key", F.coalesce("severity", F.lit("")).alias("severity"), F.coalesce("message", F.lit("")).alias("message"), F.coalesce("path", F.lit("")).alias("path"), "start_line")
-    return reports.to_sarif(f).select("repository_id", F.col("results").cast("long"))
+    f = _obs(spark, sf_dir, "repository_id", "key", "severity", "path", "start_line", where="kind = 'finding' and state = 'current' and repository_id is not null")
+    page = f.select("id", "repository_id", F.coalesce("key", F.lit("")).alias("key"), F.coalesce("severity", F.lit("")).alias("severity"), F.concat(F.lit("finding "), F.col("id").cast("string")).alias("message"), F.coalesce("path", F.lit("")).alias("path"), "start_line")
+    logs = reports.to_sarif(page, ["key", "path", "start_line", "id"])
+    # What was exported, read back.
+    return reports.sarif(logs.withColumnRenamed("repository_id", "report_id")).select(F.col("report_id").alias("repository_id"), F.col("result_no").cast("long").alias("nth"), "key", F.col("severity").alias("level"), "message", "path", F.col("start_line").cast("long").alias("start_line"))
 
 
 # ---------------------------------------------------------------- dependencies
@@ -177,7 +183,7 @@ def advisory_severities(spark, sf_dir):
 
 
 def _findings(spark, sf_dir) -> DataFrame:
-    f = _obs(spark, sf_dir).filter("kind = 'finding' and path is not null")
+    f = _obs(spark, sf_dir, "tool", "key", "repository_id", "language", "branch", "path", "start_line", "severity", where="kind = 'finding' and path is not null")
     usage = F.when(F.col("tool") == "secscan", 0).when(F.col("tool") == "depaudit", 1).otherwise(2)
     return f.select(F.col("key").alias("advisory"), F.col("repository_id").alias("repository"), F.coalesce("language", F.lit("")).alias("package"), F.coalesce("branch", F.lit("")).alias("version"), usage.alias("usage_rank"), "path", F.coalesce("start_line", F.lit(0)).alias("line"), F.coalesce("severity", F.lit("")).alias("relationship"), F.coalesce("severity", F.lit("")).alias("severity"), "tool")
 
@@ -316,7 +322,7 @@ def edge_confidence_merge(spark, sf_dir):
 # ---------------------------------------------------------------- tables
 def repository_access_semi(spark, sf_dir):
     grants = _t(spark, sf_dir, "repositories").filter("not bare and scan_state = 'ok'").select(F.col("id").alias("repository_id"))
-    return store.visible(_obs(spark, sf_dir), grants).groupBy("repository_id").agg(F.count("*").alias("n"))
+    return store.visible(_obs(spark, sf_dir, "repository_id"), grants).groupBy("repository_id").agg(F.count("*").alias("n"))
 
 
 def repository_access_anti(spark, sf_dir):
@@ -370,7 +376,7 @@ def commit_ancestors(spark, sf_dir):
 
     parent = F.lag("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
     commits = o.select(F.col("o_orderkey").cast("string").alias("revision"), F.when(parent.isNotNull(), F.array(parent.cast("string"))).otherwise(F.array().cast("array<string>")).alias("parents"))
-    heads = o.filter("o_custkey % 100 = 1").groupBy("o_custkey").agg(F.max("o_orderkey").cast("string").alias("node")).select("node")
+    heads = o.groupBy("o_custkey").agg(F.max("o_orderkey").cast("string").alias("node")).select("node")
     return store.ancestors(commits, heads, Scratch(spark, "ancestors")).withColumn("distance", F.col("distance").cast("long"))
 
 
@@ -382,7 +388,7 @@ def _runs(spark, sf_dir) -> DataFrame:
 
 
 def monitor_delta(spark, sf_dir):
-    changes, _ = monitors.deltas(_runs(spark, sf_dir), None)
+    changes, _ = monitors.deltas(_runs(spark, sf_dir), None, Scratch(spark, "monitor"))
     return changes.select("monitor_id", "id", F.size("added").cast("long").alias("added"), F.size("removed").cast("long").alias("removed"), "state")
 
 
@@ -437,9 +443,21 @@ _MONITOR = """m as (select distinct id, monitor_id, coalesce(array_to_string(lis
 w as (select *, lag(keys) over p as k, lag(scope) over p as s from m where keys is not null window p as (partition by monitor_id order by created_at, id))
 select monitor_id, id, case when s = scope then cast(len(list_filter(list_distinct(keys), lambda x: not list_contains(k, x))) as bigint) else 0 end as added,
   case when s = scope then cast(len(list_filter(list_distinct(k), lambda x: not list_contains(keys, x))) as bigint) else 0 end as removed, case when s = scope then 'complete' else 'incomplete' end as state from w where s is not null"""
+_PKG = "case when lower(ecosystem) = 'pypi' then regexp_replace(lower(trim(package)), '[-_.]+', '-', 'g') when lower(ecosystem) in ('npm', 'nuget') then lower(trim(package)) else trim(package) end"
 _LANG = "case regexp_extract(lower(path), '\\.([^./]+)$', 1) " + " ".join(f"when '{k}' then '{v}'" for k, v in (("go", "Go"), ("js", "JavaScript"), ("java", "Java"), ("py", "Python"))) + " else '' end"
 
 
+def version_sql(eco: str, v: str) -> str:
+    """SQL for the sort key of versions ``a.b.c`` with a leading v, ``-beta.n``, ``-rcn`` or ``.Final``."""
+    part = lambda i: f"lpad(regexp_extract({v}, '([0-9]+)\\.([0-9]+)\\.([0-9]+)', {i}), 12, '0')"
+    core = " || ".join(part(i) for i in (1, 2, 3))
+    tail = f"lpad(regexp_extract({v}, '-(?:beta\\.|rc)([0-9]+)$', 1), 12, '0')"
+    kind = lambda beta, rc, rest: f"case when contains({v}, '-beta.') then '{beta}' || {tail} when contains({v}, '-rc') then {rc} else '{rest}' end"
+    plain, text = lambda n: f"'{n}' || {tail}", f"'2' || regexp_extract({v}, '-(rc.*)$', 1)"
+    return f"""case when lower({eco}) = 'maven' and starts_with(lower(trim({v})), 'v') then ' ' || {part(1)} when lower({eco}) = 'maven' then {core} || {kind(2, plain(4), 6)}
+  when lower({eco}) = 'pypi' then {core} || {kind(2, plain(3), 4)} else {core} || {kind(1, text, 9)} end"""
+
+
 def _branches(tokens: list[str]) -> str:
     return " + ".join(f"(length(j) - length(replace(j, '{t}', ''))) // {len(t)}" for t in tokens)
 
@@ -478,11 +496,27 @@ select repository_id, raw, case when n = 1 then path end as path, case when n =
     "coverage_metrics": f"with {_COUNTS} " + _METRICS % "c",
     "coverage_aggregate": f"with {_COUNTS}, t as (select l_suppkey, '' as path, sum(lf) as lf, sum(lh) as lh, sum(bf) as bf, sum(bh) as bh from c group by l_suppkey) " + _METRICS % "t",
     "lcov_import": f"with {_COUNTS} select l_suppkey as report_id, path, lf as lines_found, lh as lines_hit, bf as branches_found, bh as branches_hit from c",
-    "sarif_export": f"with {_O} select repository_id, count(*) as results from o where kind = 'finding' and state = 'current' group by repository_id",
+    "sarif_export": f"""with {_O}, p as (select *, row_number() over (partition by repository_id order by key nulls first, coalesce(path, ''), start_line nulls first, id) - 1 as nth from o where kind = 'finding' and state = 'current' and repository_id is not null)
+select repository_id, nth, coalesce(nullif(trim(key), ''), 'sarif.finding') as key, case when severity in ('critical', 'high', 'error') then 'error' when severity in ('medium', 'warning') then 'warning' when severity in ('low', 'note') then 'note' else 'none' end as level,
+  'finding ' || id as message, coalesce(path, '') as path, cast(start_line as bigint) as start_line from p where nth < 500""",
     "dependency_inventory": f"with {_INV} select repository, l_partkey, usage, version, latest, status, case when status = 'current' then 'none' when status <> 'behind' then 'unknown' when a[1] <> b[1] then 'major' when a[2] <> b[2] then 'minor' when a[3] <> b[3] then 'patch' else 'unknown' end as distance from s",
     "dependency_status_counts": f"with {_INV} select ecosystem, count(*) as declarations, count(*) filter (status = 'current') as current, count(*) filter (status = 'behind') as behind, count(*) filter (status = 'ahead') as ahead, count(*) filter (status = 'prerelease') as prerelease, count(*) filter (status = 'unresolved') as unresolved, count(*) filter (status = 'unavailable') as unavailable from s group by ecosystem",
     "dependency_search": f"with {_DECL} select repository, l_partkey from d where contains(lower(concat_ws(chr(10), repository, ecosystem, package, version, usage)), 'brand#2') and lower(usage) = 'r'",
     "registry_longest_prefix": "with r(prefix, registry) as (values " + ", ".join(f"('{p}', '{g}')" for p, g in ROUTES) + ") select p_partkey, arg_max(registry, length(prefix)) as registry from part join r on starts_with(lower(p_name), prefix) group by p_partkey",
+    "advisory_range_join": f"""with x as (select record_id, unnest(affected) as f from advisories), e0 as (select record_id, f.ecosystem as ecosystem, f.name as package, f.ranges as ranges, f.versions as versions from x where f.ecosystem is not null and f.name is not null),
+e as (select row_number() over () as n, record_id, lower(ecosystem) as eco, {_PKG} as pkg, ranges, versions from e0),
+d as (select distinct ecosystem, package, (record_id % 13) || '.' || (record_id % 31) || '.' || (record_id % 17) as version, lower(ecosystem) as eco, {_PKG} as pkg from e0),
+j as (select e.n, record_id, ecosystem, package, version, d.eco, ranges, coalesce(list_contains(versions, version), false) as listed, {version_sql('d.eco', 'version')} as mine from d join e on d.eco = e.eco and d.pkg = e.pkg),
+r as (select n, record_id, ecosystem, package, version, eco, mine, unnest(ranges) as r, unnest(range(len(ranges))) as i from j), w as (select * exclude (r), r.events as events from r where r.events is not null),
+m as (select n, record_id, ecosystem, package, version, eco, mine, i, unnest(events) as m from w),
+p as (select * exclude (m), m.fixed as fixed, coalesce(nullif(m.introduced, ''), nullif(m.fixed, ''), nullif(m.last_affected, ''), nullif(m."limit", '')) as v,
+  case when coalesce(m.introduced, '') <> '' then 0 when coalesce(m.fixed, '') <> '' then 1 when coalesce(m.last_affected, '') <> '' then 2 else 3 end as kind from m),
+q as (select * exclude (v), case when v = '0' then '' else {version_sql('eco', 'v')} end as k from p where v is not null),
+o as (select n, ecosystem, package, version, mine, i, list((k, kind) order by k, kind) as marks from q group by all),
+s as (select n, ecosystem, package, version, list_reduce(marks, lambda a, b: case when a = 2 then 2 when b[2] = 0 then case when mine >= b[1] then 1 else 0 end when a = 1 and ((b[2] = 2 and mine <= b[1]) or (b[2] <> 2 and mine < b[1])) then 2 else 0 end, 0) as state from o),
+h as (select distinct n, ecosystem, package, version from s where state >= 1 union select n, ecosystem, package, version from j where listed),
+f as (select n, ecosystem, package, version, arg_min(fixed, (k2, fixed)) as fixed from (select *, {version_sql('eco', 'fixed')} as k2 from q where coalesce(fixed, '') <> '') where k2 > mine group by all)
+select distinct record_id, ecosystem, package, version, fixed from h join (select distinct n, record_id from e) using (n) left join f using (n, ecosystem, package, version)""",
     "advisory_gaps": """with x as (select record_id, unnest(affected) as f from advisories), e as (select distinct record_id, lower(f.ecosystem) as ecosystem, lower(f.name) as package from x where f.name is not null),
 d as (select distinct ecosystem, package from e where record_id % 3 = 0) select e.* from e where not exists (select 1 from d where d.ecosystem = e.ecosystem and d.package = e.package)""",
     "advisory_severities": """with s as (select record_id, unnest(severity) as e from advisories), t as (select record_id, trim(e.score) as t, starts_with(e.score, 'CVSS:3.') as vector from s),
@@ -546,7 +580,7 @@ select coalesce(b.o_custkey, a.o_custkey) as o_custkey, coalesce(b.k, a.k) as o_
     "identity_page": "select c_custkey, c_name from customer order by lower(c_name), c_custkey limit 40 offset 120",
     "output_bound": "select o_custkey, o_orderkey, sum(length(o_orderpriority)) over (partition by o_custkey order by o_orderkey desc rows unbounded preceding) > 60 as truncated from orders",
     "conversation_counts": "select conversation_id, count(*) as messages, min(created_at) as first_at, max(created_at) as last_at from (select distinct conversation_id, id, created_at from conversation_messages where conversation_id is not null) group by 1",
-    "commit_ancestors": """with h as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey desc) - 1 as distance from orders where o_custkey % 100 = 1)
+    "commit_ancestors": """with h as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey desc) - 1 as distance from orders)
 select cast(o_orderkey as varchar) as revision, distance from h""",
     "monitor_delta": "with " + _MONITOR,
     "streaming_monitor": "with " + _MONITOR,

@@ -22,9 +22,12 @@ cmd/*/*.java      @java-cmd
 
 
 def source(spark, sf_dir: str) -> DataFrame:
-    """Files once each, absent text and language as empty."""
-    files = table(spark, sf_dir, "source_files").dropDuplicates(["file_id"])
-    return files.select("file_id", "repository_id", "repository", "path", F.coalesce("language", F.lit("")).alias("language"), "revision", F.col("content").alias("text"))
+    """Files as delivered, absent language as empty.
+
+    A file may be delivered twice: whatever is derived from it is made distinct (``search.once``) when
+    its text is gone, so filters reach the scan and no text is shuffled.
+    """
+    return table(spark, sf_dir, "source_files").select("file_id", "repository_id", "repository", "path", F.coalesce("language", F.lit("")).alias("language"), "revision", F.col("content").alias("text"))
 
 
 FILES_SQL = "f as (select file_id, repository_id, repository, path, coalesce(language, '') as language, revision, content as text from (select distinct on (file_id) * from source_files))"
@@ -48,8 +51,7 @@ def search_filters_or_and_not(spark, sf_dir):
 
 
 def search_line_matches_context(spark, sf_dir):
-    rows = search.lines(source(spark, sf_dir).filter("text is not null"))
-    out = search.with_context(rows, ["file_id"], contains(F.col("line"), "conflict"))
+    out = search.matching_lines(source(spark, sf_dir), lambda x: contains(x, "conflict"))
     return out.select("file_id", F.col("number").cast("long"), "line", "before", "after")
 
 
@@ -72,20 +74,21 @@ def search_totals(spark, sf_dir):
 
 def search_mixed_union(spark, sf_dir):
     c = _scored(spark, sf_dir, "registry").select(F.lit("content").alias("result_type"), "repository", "path", F.col("score").alias("weight"))
-    p = source(spark, sf_dir).filter(contains(F.col("path"), "registry")).select(F.lit("file_path").alias("result_type"), "repository", "path", F.when(F.startswith(F.lower(basename(F.col("path"))), F.lit("registry")), 70.0).otherwise(40.0).alias("weight"))
+    paths = search.once(source(spark, sf_dir).filter(contains(F.col("path"), "registry")).select("file_id", "repository", "path"))
+    p = paths.select(F.lit("file_path").alias("result_type"), "repository", "path", F.when(F.startswith(F.lower(basename(F.col("path"))), F.lit("registry")), 70.0).otherwise(40.0).alias("weight"))
     return search.mixed(c, p, 100)
 
 
 def file_window(spark, sf_dir):
-    return search.lines(source(spark, sf_dir).filter("text is not null")).filter("number between 3 and 12").select("file_id", F.col("number").cast("long"), "line")
+    return search.once(search.lines(source(spark, sf_dir).filter("text is not null"), "text", 3, 12).select("file_id", F.col("number").cast("long"), "line"))
 
 
 def tree_listing(spark, sf_dir):
-    return search.directory_closure(source(spark, sf_dir))
+    return search.directory_closure(search.once(source(spark, sf_dir).select("file_id", "path")))
 
 
 def language_summary(spark, sf_dir):
-    n = source(spark, sf_dir).groupBy("language").agg(F.count("*").alias("files"))
+    n = search.once(source(spark, sf_dir).select("file_id", "language")).groupBy("language").agg(F.count("*").alias("files"))
     total = n.agg(F.sum("files").alias("t"))  # one row
     return n.join(F.broadcast(total)).select("language", "files", F.round(100.0 * F.col("files") / F.col("t"), 6).alias("percent"))
 
@@ -104,7 +107,7 @@ def commit_log_page(spark, sf_dir):
 def diff_sides(spark, sf_dir):
     parts = F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(F.when(i % 3 == 0, "+").when(i % 3 == 1, "-").otherwise(" "), x))
     patches = source(spark, sf_dir).filter("text is not null").select("file_id", F.concat(F.lit("--- a\n+++ b\n"), F.array_join(parts, "\n")).alias("patch"))
-    return history.diff_sides(patches).select("file_id", F.md5("added").alias("added"), F.md5("removed").alias("removed"))
+    return search.once(history.diff_sides(patches).select("file_id", F.md5("added").alias("added"), F.md5("removed").alias("removed")))
 
 
 def line_difference(spark, sf_dir):
@@ -114,8 +117,8 @@ def line_difference(spark, sf_dir):
 
 
 def ownership_last_match(spark, sf_dir):
-    files = source(spark, sf_dir).select("file_id", "repository", "path")
-    names = [r[0] for r in spark.createDataFrame([("mede-artifact",), ("velre-budget",), ("soriba-envelope",)], "n string").collect()]
+    files = search.once(source(spark, sf_dir).select("file_id", "repository", "path"))
+    names = ["mede-artifact", "velre-budget", "soriba-envelope"]
     rules = ownership.rule_table(spark, {n: OWNERS for n in names})
     return ownership.resolve(files, rules).select("file_id", "state", "owners", F.col("rule_line").cast("long"))
 
@@ -130,7 +133,7 @@ def symbol_calls(spark, sf_dir):
 
 def symbol_references(spark, sf_dir):
     rows = search.lines(source(spark, sf_dir).filter("text is not null"))
-    return extract.references(rows, "registry").select("file_id", F.col("number").cast("long"))
+    return search.once(extract.references(rows, "registry").select("file_id", F.col("number").cast("long")))
 
 
 def endpoint_hosts(spark, sf_dir):

@@ -2,8 +2,9 @@
 
 Everything an operator cuts its lineage with is written below the folder that the session
 names in ``spark.checkpoint.dir`` - a folder all executors share, so a lost executor costs a
-re-read and never the job.  Only where the setting is absent (tests, notebooks) a private
-folder is made up.
+re-read and never the job.  Only where the setting is absent and all executors are threads of
+this machine (tests, notebooks) a private folder is made up; a cluster without a shared folder is an
+error, as its executors would write to disks that the others can't read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _OWN_DIR is None:
         _OWN_DIR = tempfile.mkdtemp(prefix="strataquery-")
         atexit.register(shutil.rmtree, _OWN_DIR, True)

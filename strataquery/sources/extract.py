@@ -6,7 +6,7 @@ path and text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: What declares a symbol, by language: kind and pattern with the name as group 1.
 SYMBOLS = {
@@ -22,6 +22,13 @@ def _of_kind(kind: str):
     return lambda name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
 
 
+def slim(files: DataFrame, found: Column, name: str) -> DataFrame:
+    """Repository, path and what was found of every file, without its text; files delivered twice once."""
+    keys = [c for c in ("file_id", "repository", "path") if c in files.columns]
+    out = files.select(*keys, found.alias(name))
+    return out.distinct() if "file_id" in keys else out
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """``repository, path, kind, name`` of declarations in files of known languages."""
     ext = F.lower(F.regexp_extract("path", _EXT, 1))
@@ -29,14 +36,14 @@ def symbols(files: DataFrame) -> DataFrame:
     for e, rules in SYMBOLS.items():
         found = F.concat(*[F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), _of_kind(k)) for k, p in rules])
         out = F.when(ext == e, found) if out is None else out.when(ext == e, found)
-    return files.select("repository", "path", F.explode(out).alias("s")).select("repository", "path", "s.kind", "s.name")
+    return slim(files, out, "s").select("repository", "path", F.explode("s").alias("s")).select("repository", "path", "s.kind", "s.name")
 
 
 def calls(files: DataFrame) -> DataFrame:
     """Names that are called, each once for a file: an identifier or its last part before a parenthesis."""
     names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?:\w+\.)*(\w+)\("), F.lit(1)))
     words = ["if", "for", "while", "switch", "return", "catch", "func", "function", "def", "print", "elif", "except", "and", "or", "not", "in"]
-    return files.select("repository", "path", F.explode(names).alias("target")).filter(~F.col("target").isin(words))
+    return slim(files, names, "names").select("repository", "path", F.explode("names").alias("target")).filter(~F.col("target").isin(words))
 
 
 def references(lines: DataFrame, symbol: str) -> DataFrame:
@@ -46,7 +53,8 @@ def references(lines: DataFrame, symbol: str) -> DataFrame:
 
 def go_routes(files: DataFrame) -> DataFrame:
     pattern = r"""(?:HandleFunc|Handle|Get|Post|Put|Delete|Patch|GET|POST|PUT|DELETE|PATCH)\([ \t]*"((?:[A-Z]+ )?/[^"]*)\""""
-    return files.select("repository", "path", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("r")).select("repository", "path", F.coalesce(F.nullif(F.regexp_extract("r", "^([A-Z]+) ", 1), F.lit("")), F.lit("ANY")).alias("verb"), F.regexp_replace("r", "^[A-Z]+ ", "").alias("route"))
+    found = slim(files, F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), "rs").select("repository", "path", F.explode("rs").alias("r"))
+    return found.select("repository", "path", F.coalesce(F.nullif(F.regexp_extract("r", "^([A-Z]+) ", 1), F.lit("")), F.lit("ANY")).alias("verb"), F.regexp_replace("r", "^[A-Z]+ ", "").alias("route"))
 
 
 def spring_routes(files: DataFrame) -> DataFrame:
@@ -54,7 +62,7 @@ def spring_routes(files: DataFrame) -> DataFrame:
     prefix = F.regexp_extract("text", r"""@RequestMapping\((?:value[ ]*=[ ]*)?"([^"]*)"\)[^@{]*class """, 1)
     verbs = F.regexp_extract_all("text", F.lit(r"@(Get|Post|Put|Delete|Patch)Mapping\b"), F.lit(1))
     paths = F.regexp_extract_all("text", F.lit(r"""@(?:Get|Post|Put|Delete|Patch)Mapping(?:\((?:value[ ]*=[ ]*|path[ ]*=[ ]*)?(?:"([^"]*)")?[^)]*\))?"""), F.lit(1))
-    rows = files.select("repository", "path", prefix.alias("prefix"), F.explode(F.arrays_zip(verbs.alias("v"), paths.alias("p"))).alias("z"))
+    rows = slim(files, F.struct(prefix.alias("prefix"), F.arrays_zip(verbs.alias("v"), paths.alias("p")).alias("zs")), "x").select("repository", "path", "x.prefix", F.explode("x.zs").alias("z"))
     return rows.select("repository", "path", F.upper("z.v").alias("verb"), F.regexp_replace(F.concat(F.lit("/"), "prefix", F.lit("/"), F.coalesce("z.p", F.lit(""))), "(?<=/)/+|(?<=.)/+$", "").alias("route"))
 
 

@@ -37,15 +37,19 @@ def facts(text: str) -> list[tuple[str, str, str, int, int]]:
 
 
 def python_facts(files: DataFrame) -> DataFrame:
-    """Facts of ``files`` (repository, path, text) that end in .py."""
+    """Facts of ``files`` (repository, path, text) that end in .py; files delivered twice are told by ``file_id``."""
+    known = "file_id" in files.columns
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for repo, path, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-                for fact in facts(text):
-                    for c, v in zip(cols, (repo, path, *fact)):
+            cols: list[list] = [[] for _ in range(9)]
+            for repo, path, text, file_id in zip(*(b.column(i).to_pylist() for i in range(4))):
+                for nth, fact in enumerate(facts(text)):
+                    for c, v in zip(cols, (repo, path, *fact, file_id, nth)):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i > 4 else pa.string()) for i, c in enumerate(cols)], names=["repository", "path", "fact", "kind", "name", "line", "end_line"])
+            types = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["repository", "path", "fact", "kind", "name", "line", "end_line", "file_id", "nth"])
 
-    return files.filter(F.col("text").isNotNull() & F.endswith("path", F.lit(".py"))).select("repository", "path", "text").mapInArrow(run, _OUT)
+    picked = files.filter(F.col("text").isNotNull() & F.endswith("path", F.lit(".py"))).select("repository", "path", "text", (F.col("file_id").cast("long") if known else F.lit(None).cast("long")).alias("file_id"))
+    out = picked.mapInArrow(run, _OUT + ", file_id long, nth int")
+    return (out.distinct() if known else out).drop("file_id", "nth")

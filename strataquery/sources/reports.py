@@ -93,13 +93,15 @@ def semgrep(texts: DataFrame) -> DataFrame:
     return r.select("report_id", "result_no", F.col("r.check_id").alias("key"), severity(F.col("r.extra.severity")).alias("severity"), F.col("r.extra.message").alias("message"), F.regexp_replace("r.path", r"\\", "/").alias("path"), F.col("r.start.line").alias("start_line"), F.col("r.end.line").alias("end_line"), F.col("r.extra.fingerprint").alias("fingerprint"), F.coalesce("r.extra.is_ignored", F.lit(False)).alias("suppressed"))
 
 
-def to_sarif(findings: DataFrame) -> DataFrame:
-    """One SARIF log for each repository: rules sorted, each once, results in order.
+def to_sarif(findings: DataFrame, order: list[str], most: int = 500) -> DataFrame:
+    """One SARIF log for each repository: the page of its first ``most`` findings, rules sorted, each once.
 
-    Levels: critical and high are errors, medium is a warning, low a note, the rest none.
+    Only the page is exported, so a log has a bounded size; the rank is a limit in each group before
+    anything is brought together.  Levels: critical and high are errors, medium is a warning, low a note, the rest none.
     """
     level = F.when(F.col("severity").isin("critical", "high", "error"), "error").when(F.col("severity").isin("medium", "warning"), "warning").when(F.col("severity").isin("low", "note"), "note").otherwise("none")
     result = F.struct(F.col("key").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine")).alias("region")).alias("physicalLocation"))).alias("locations"))
-    per = findings.groupBy("repository_id").agg(F.sort_array(F.collect_set("key")).alias("rules"), F.sort_array(F.collect_list(F.struct("key", "path", "start_line", result.alias("r")))).alias("rows"))
+    page = findings.withColumn("_n", F.row_number().over(W.partitionBy("repository_id").orderBy(*order))).filter(F.col("_n") <= most)
+    per = page.groupBy("repository_id").agg(F.sort_array(F.collect_set("key")).alias("rules"), F.sort_array(F.collect_list(F.struct("_n", result.alias("r")))).alias("rows"))
     run = F.struct(F.struct(F.struct(F.lit("strataquery").alias("name"), F.transform("rules", lambda k: F.struct(k.alias("id"))).alias("rules")).alias("driver")).alias("tool"), F.transform("rows", lambda x: x["r"]).alias("results"))
     return per.select("repository_id", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("text"), F.size("rows").alias("results"))

@@ -201,7 +201,7 @@ def test_sarif_and_semgrep(spark):
     assert got == [("R1", "warning", "m", "a/b.go", 3, "2", True), ("X", "error", "", "", None, "", False)]
     sem = '{"results":[{"check_id":"c","path":"a\\\\b.py","start":{"line":1},"end":{"line":2},"extra":{"severity":"INFO","message":"m"}}]}'
     assert [(r.key, r.severity, r.path) for r in reports.semgrep(spark.createDataFrame([(1, sem)], "report_id int, text string")).collect()] == [("c", "note", "a/b.py")]
-    out = reports.to_sarif(spark.createDataFrame([(1, "K", "high", "m", "p", 4), (1, "A", "low", "m", "p", 1)], "repository_id int, key string, severity string, message string, path string, start_line int")).first()
+    out = reports.to_sarif(spark.createDataFrame([(1, "K", "high", "m", "p", 4), (1, "A", "low", "m", "p", 1)], "repository_id int, key string, severity string, message string, path string, start_line int"), ["key"]).first()
     again = reports.sarif(spark.createDataFrame([(1, out.text)], "report_id int, text string"))
     assert [(r.key, r.severity, r.start_line) for r in again.orderBy("result_no").collect()] == [("A", "note", 1), ("K", "error", 4)]
 

@@ -117,3 +117,83 @@ def test_queries_and_sql_agree_on_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_salted_path(spark, monkeypatch):
+    """A key that holds most rows is spread and still joins with each of its partners once."""
+    from strataquery.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST_ROWS", 0)
+    many = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    side = spark.createDataFrame([(7, "a"), (9, "b"), (9, "c")], "k long, s string")
+    left, heavy = salted(many, "k", "v", 3000)
+    assert [r.k for r in heavy.collect()] == [7] and left.filter("k = 7").select("_salt").distinct().count() > 1
+    assert left.join(replicated(side, "k", heavy), ["k", "_salt"]).count() == many.join(side, "k").count() == 2002
+
+
+def test_hubs_are_salted(spark, scratch, monkeypatch):
+    from strataquery.operators import graph, skew
+
+    monkeypatch.setattr(skew, "LEAST_ROWS", 0)
+    edges = spark.range(1000).select(F.lit("hub").alias("src"), F.concat(F.lit("n"), "id").alias("dst")).unionByName(spark.createDataFrame([("n5", "deep"), ("deep", "hub")], "src string, dst string")).withColumn("id", F.concat("src", F.lit(">"), "dst"))
+    hit = graph.reachable(edges, spark.createDataFrame([("hub",)], "node string"), scratch, witness=True)
+    assert hit.count() == 1002
+    assert [(r.distance, r.parent) for r in hit.filter("node = 'deep'").collect()] == [(2, "n5")]
+
+
+def test_greedy_budget(spark, scratch):
+    """Against the fold it stands for."""
+    import random
+
+    from strataquery.operators import store
+
+    rng = random.Random(5)
+    data = [(g, i, rng.choice([1, 3, 9, 40, 200])) for g in (1, 2, 3) for i in range(60)]
+    want = []
+    for g in (1, 2, 3):
+        used = n = 0
+        for _, i, s in [d for d in data if d[0] == g]:
+            if used + s <= 100 and n < 12:
+                want.append((g, i, used))
+                used, n = used + s, n + 1
+    df = spark.createDataFrame(data, "g int, i int, s int")
+    got = rows(store.greedy_budget(df, "g", ["i"], "s", 100, 12, scratch).select("g", "i", "used"))
+    assert got == sorted(want, key=repr)
+    assert store.greedy_budget(df.limit(0), "g", ["i"], "s", 100, 12, scratch).count() == 0
+
+
+def test_score_places(spark):
+    df = spark.createDataFrame([(0.0,), (5.0,), (5.0,), (2000.5,), (3e6,), (2000.0,)], "score double")
+    assert rows(search.score_places(df)) == sorted([(3e6, 1), (2000.5, 2), (2000.0, 3), (5.0, 4)], key=repr)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from strataquery import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+
+
+def test_no_text_in_a_shuffle(spark):
+    """Search and insight plans move what they derive, never the texts."""
+    import re
+
+    from strataquery.plans import catalogue
+
+    for name in ("search_content_substring", "search_ranked_topk", "search_line_matches_context", "symbols_extract", "derived_metrics_rollup", "insight_facets", "insight_current_history", "finding_headlines"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        for exchange in re.finditer(r"Exchange [^\n]*\n([^\n]*)", plan):
+            assert not re.search(r"(?:content|message|text)#\d+", exchange.group(0)), (name, exchange.group(0))
