@@ -185,3 +185,16 @@ def merge_evidence(rows: DataFrame, key: list[str], evidence: str, most: int = 1
     total = distinct.groupBy(*key).agg(F.count("*").alias("total"))
     top = distinct.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(evidence))).filter(F.col("_n") <= most)
     return top.groupBy(*key).agg(F.array_sort(F.collect_list(evidence)).alias(evidence)).join(total, key)
+
+
+def snapshot_graph(files: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (``id, kind, label``) and edges (``src, dst, kind, id``) of repositories, their files and what these declare.
+
+    ``files``: repository_id, repository, path; ``symbols``: repository, path, kind, name.
+    """
+    repo, file = F.concat(F.lit("repository:"), "repository"), F.concat_ws(":", F.lit("file"), "repository", "path")
+    symbol = F.concat_ws(":", F.lit("symbol"), "repository", "path", "kind", "name")
+    nodes = files.select(repo.alias("id"), F.lit("repository").alias("kind"), F.col("repository").alias("label")).distinct()
+    nodes = nodes.unionByName(files.select(file.alias("id"), F.lit("file").alias("kind"), F.col("path").alias("label")).distinct()).unionByName(symbols.select(symbol.alias("id"), F.lit("symbol").alias("kind"), F.col("name").alias("label")).distinct())
+    edges = files.select(repo.alias("src"), file.alias("dst"), F.lit("contains").alias("kind")).distinct().unionByName(symbols.select(file.alias("src"), symbol.alias("dst"), F.lit("defines").alias("kind")).distinct())
+    return nodes, edges.withColumn("id", F.concat_ws(">", "src", "dst"))

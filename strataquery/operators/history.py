@@ -49,3 +49,10 @@ def line_difference(left: DataFrame, right: DataFrame, key: list[str], line: str
     gone = left.select(*key, line).exceptAll(right.select(*key, line)).withColumn("side", F.lit("-"))
     come = right.select(*key, line).exceptAll(left.select(*key, line)).withColumn("side", F.lit("+"))
     return gone.unionByName(come)
+
+
+def diff_stat(patches: DataFrame, most: int, patch: str = "patch") -> DataFrame:
+    """Lines that came and went, and the patch cut at ``most`` code points, flagged where it was longer."""
+    lines = F.split(F.col(patch), "\n", -1)
+    count = lambda sign: F.size(F.filter(lines, lambda x: F.startswith(x, F.lit(sign)) & ~F.startswith(x, F.lit(sign * 3))))
+    return patches.select("*", count("+").alias("insertions"), count("-").alias("deletions"), F.substring(F.col(patch), 1, most).alias("shown"), (F.length(patch) > most).alias("truncated"))

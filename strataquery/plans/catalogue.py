@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from ..operators import intervals, nested, snapshots
-from . import queries_facts, queries_more, queries_search
+from . import queries_facts, queries_fleet, queries_manifests, queries_more, queries_search
 
 QUERIES = {
     **queries_search.QUERIES,
     **queries_facts.QUERIES,
     **queries_more.QUERIES,
+    **queries_manifests.QUERIES,
+    **queries_fleet.QUERIES,
     "p2_found": snapshots.p2_found,
     "p4_found": nested.p4_found,
     "p4_events_table": nested.p4_events_table,
@@ -68,6 +70,8 @@ ORACLES: dict[str, str] = {
     **queries_search.ORACLES,
     **queries_facts.ORACLES,
     **queries_more.ORACLES,
+    **queries_manifests.ORACLES,
+    **queries_fleet.ORACLES,
     "p2_found": _P2,
     "p4_found": _P4,
     "p4_events_table": _NESTED + """

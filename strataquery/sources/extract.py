@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.scalars import service_name, without_comments
+
 #: What declares a symbol, by language: kind and pattern with the name as group 1.
 SYMBOLS = {
     "go": [("function", r"(?m)^func[ \t]+(?:\([^)]*\)[ \t]*)?(\w+)[ \t]*[(\[]"), ("type", r"(?m)^type[ \t]+(\w+)[ \t]")],
@@ -57,13 +59,35 @@ def go_routes(files: DataFrame) -> DataFrame:
     return found.select("repository", "path", F.coalesce(F.nullif(F.regexp_extract("r", "^([A-Z]+) ", 1), F.lit("")), F.lit("ANY")).alias("verb"), F.regexp_replace("r", "^[A-Z]+ ", "").alias("route"))
 
 
+def _route(prefix, path):
+    return F.regexp_replace(F.concat(F.lit("/"), prefix, F.lit("/"), path), "(?<=/)/+|(?<=.)/+$", "")
+
+
 def spring_routes(files: DataFrame) -> DataFrame:
-    """Class prefix times method paths."""
+    """Class prefix times method paths, and functional routes, which have no prefix."""
     prefix = F.regexp_extract("text", r"""@RequestMapping\((?:value[ ]*=[ ]*)?"([^"]*)"\)[^@{]*class """, 1)
     verbs = F.regexp_extract_all("text", F.lit(r"@(Get|Post|Put|Delete|Patch)Mapping\b"), F.lit(1))
     paths = F.regexp_extract_all("text", F.lit(r"""@(?:Get|Post|Put|Delete|Patch)Mapping(?:\((?:value[ ]*=[ ]*|path[ ]*=[ ]*)?(?:"([^"]*)")?[^)]*\))?"""), F.lit(1))
-    rows = slim(files, F.struct(prefix.alias("prefix"), F.arrays_zip(verbs.alias("v"), paths.alias("p")).alias("zs")), "x").select("repository", "path", "x.prefix", F.explode("x.zs").alias("z"))
-    return rows.select("repository", "path", F.upper("z.v").alias("verb"), F.regexp_replace(F.concat(F.lit("/"), "prefix", F.lit("/"), F.coalesce("z.p", F.lit(""))), "(?<=/)/+|(?<=.)/+$", "").alias("route"))
+    plain = F.regexp_extract_all("text", F.lit(r"""\b(?:GET|POST|PUT|DELETE|PATCH)\(\s*"/[^"]*\""""), F.lit(0))
+    both = F.struct(prefix.alias("prefix"), F.arrays_zip(verbs.alias("v"), paths.alias("p")).alias("zs"), plain.alias("fs"))
+    rows = slim(files, both, "x")
+    by_class = rows.select("repository", "path", "x.prefix", F.explode("x.zs").alias("z")).select("repository", "path", F.upper("z.v").alias("verb"), _route(F.col("prefix"), F.coalesce("z.p", F.lit(""))).alias("route"))
+    functional = rows.select("repository", "path", F.explode("x.fs").alias("f")).select("repository", "path", F.regexp_extract("f", r"^([A-Z]+)", 1).alias("verb"), _route(F.lit(""), F.regexp_extract("f", r'"([^"]*)"', 1)).alias("route"))
+    return by_class.unionByName(functional)
+
+
+#: Hosts of documentation and schemas, which name no service.
+NO_SERVICE = ["localhost", "127.0.0.1", "0.0.0.0", "www.w3.org", "schemas.xmlsoap.org", "www.apache.org", "json-schema.org", "example.com", "www.springframework.org", "maven.apache.org"]
+
+
+def client_targets(files: DataFrame) -> DataFrame:
+    """``repository, path, target`` of declared HTTP clients, and of URLs in files that use a client; each once for a file."""
+    text = without_comments(F.col("text"))
+    named = F.regexp_extract_all(text, F.lit(r"""@FeignClient\s*\([^)]*?(?:(?:name|value)\s*=\s*)?"([^"]+)"[^)]*\)"""), F.lit(1))
+    urls = F.when(text.rlike(r"\b(?:WebClient|RestTemplate|RestClient|HttpClient|OkHttpClient)\b"), F.regexp_extract_all(text, F.lit(r"""\b(?:https?|lb)://([A-Za-z0-9._-]+)"""), F.lit(1)))
+    hosts = F.array_distinct(F.concat(named, F.coalesce(urls, F.array().cast("array<string>"))))
+    rows = slim(files, hosts, "hosts").select("repository", "path", F.explode("hosts").alias("host")).filter(~F.lower("host").isin(NO_SERVICE))
+    return rows.select("repository", "path", service_name(F.col("host")).alias("target")).filter("target <> ''").distinct()
 
 
 def match_route(calls_: DataFrame, routes: DataFrame) -> DataFrame:
