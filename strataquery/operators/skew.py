@@ -10,9 +10,10 @@ SHARE = 256
 LEAST_ROWS = 200_000
 
 
-def salted(rows: DataFrame, key: str, spread: str, total: int) -> tuple[DataFrame, DataFrame | None]:
+def salted(rows: DataFrame, key: str, spread: str, total: int, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Add ``_salt`` to ``rows``: 0, or for heavy keys a number that spreads them.
 
+    ``counts`` (key, ``n``) spares the pass that counts the keys, where they are counted already.
     Returns the rows and the heavy keys with their fan-out.  The heavy keys are at most SHARE
     rows whatever the data, as each has over total/SHARE rows; that bound is why they may be
     broadcast.
@@ -20,7 +21,8 @@ def salted(rows: DataFrame, key: str, spread: str, total: int) -> tuple[DataFram
     if total < LEAST_ROWS:
         return rows.withColumn("_salt", F.lit(0)), None
     piece = max(total // SHARE, 1)
-    heavy = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > piece).select(key, F.ceil(F.col("_n") / F.lit(piece)).cast("int").alias("_fan"))
+    per = rows.groupBy(key).agg(F.count("*").alias("_n")) if counts is None else counts.select(key, F.col("n").alias("_n"))
+    heavy = per.filter(F.col("_n") > piece).select(key, F.ceil(F.col("_n") / F.lit(piece)).cast("int").alias("_fan"))
     out = rows.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_fan")).cast("int"), F.lit(0))).drop("_fan")
     return out, heavy
 
