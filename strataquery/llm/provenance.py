@@ -4,9 +4,9 @@ Plan: one map reads each file once and leaves a slim row: what its path and cont
 themselves, and the fingerprints of its normalized token stream.  Tokens are words and single signs
 without white space; k-grams of token hashes are winnowed, so any shared run of ``GRAM + WINDOW - 1``
 tokens shares a fingerprint.  A file is a copy if ``SHARE`` of its fingerprints stand together in one
-other file, and the files that hold them so lie in ``REPOSITORIES`` or more repositories, its own
-among them; so how large the corpus is does not matter, and idioms spread over many files make no
-copy.  Equal fingerprint sets are one set from the start, so exact copies never make pairs.  Of each
+other file, and the files that hold them so lie in ``REPOSITORIES`` or more unrelated repositories, its
+own among them; so how large the corpus is does not matter, and idioms spread over many files make no
+copy.  Repositories that largely hold the same files - forks and mirrors - are one family and count once.  Equal fingerprint sets are one set from the start, so exact copies never make pairs.  Of each
 set only its rarest fingerprints look for partners, as many as a partner cannot miss entirely
 (prefix filter: no pair is lost); a set with too many fingerprints of its own looks for none.  Each
 pair found is then checked over the whole sets.  Hot fingerprints are salted in the joins.
@@ -33,10 +33,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.skew import replicated, salted
 from ..session import Scratch, spread, table
+from .components import components
 from .textarrays import LETTER, NUMBER, SPACE, blocks, classes, codepoints, prefix_hashes, span_hashes
 
-#: Tokens of a gram, grams of a winnowing window, repositories that hold a copy, share of a copy.
+#: Tokens of a gram, grams of a winnowing window, unrelated repositories that hold a copy, share of a copy.
 GRAM, WINDOW, REPOSITORIES, SHARE = 20, 15, 2, 0.75
+#: Bands of four hashes in a repository's signature, and distinct files it takes to tell relatives.
+BANDS, LEAST_SETS = 16, 8
 #: Names of lock files.
 LOCKS = frozenset(
     ["Cargo.lock", "Gemfile.lock", "Pipfile.lock", "composer.lock", "deno.lock", "flake.lock", "go.sum", "gradle.lockfile", "mix.lock", "npm-shrinkwrap.json", "package-lock.json", "packages.lock.json", "pdm.lock", "pnpm-lock.yaml", "poetry.lock", "pubspec.lock", "uv.lock", "yarn.lock"]
@@ -45,7 +48,7 @@ LOCKS = frozenset(
 FOREIGN = frozenset(["_vendor", "bower_components", "external", "jspm_packages", "node_modules", "site-packages", "third-party", "third_party", "thirdparty", "vendor", "vendored"])
 _MARK = r"^[ \t]*(?:#+|//+!?|/\*+!?|\*+|--|;+|<!--)[ \t]*"
 _GENERATED = re.compile(
-    _MARK + r"(?:Code generated (?:by .*)?DO NOT EDIT|<auto-generated\b|@generated\b|AUTO-?GENERATED FILE\b|(?:This file (?:is|was) )?(?:auto(?:matically)?[ -]?)?generated (?:by|from|with)\b.*(?:do not (?:edit|modify)|;)|(?:This file (?:is|was) )?auto(?:matically)?[ -]?(?:generated|created|produced|written) by\b|\S+ output, .*machine[ -](?:written|generated))",
+    _MARK + r"(?:Code generated (?:by .*)?DO NOT EDIT|<auto-generated\b|@generated\b|AUTO-?GENERATED FILE\b|(?:This file (?:is|was) )?(?:auto(?:matically)?[ -]?)?generated (?:by|from|with)\b.*(?:do not (?:edit|modify)|;)|(?:This file (?:is|was) )?auto(?:matically)?[ -]?(?:generated|created|produced|written) by\b|.*\bmachine[ -](?:written|generated|made)\b.*\b(?:do not edit|instead)\b)",
     re.I | re.M,
 )
 #: Each piece of a line is taken once and for all (``?>``, ``*+``), so a line costs time in proportion to its length.
@@ -127,22 +130,44 @@ def fingerprints(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> li
     return out
 
 
+def families(holders: DataFrame, scratch: Scratch) -> DataFrame:
+    """``repo, family``: repositories that largely hold the same files - forks, mirrors, renamed copies - are one family.
+
+    Each repository with ``LEAST_SETS`` distinct files or more has a signature of 64 least hashes over
+    them, in 16 bands; two that agree in a band have most files in common.  Bands and repositories are the
+    two sides of a graph, whose components are the families, so no pairs are made.
+    """
+    per = holders.groupBy("repo").agg(F.count("*").alias("n"), *[F.min(F.xxhash64("s", F.lit(i))).alias(f"h{i}") for i in range(4 * BANDS)]).filter(F.col("n") >= LEAST_SETS)
+    bands = F.array(*[F.concat_ws(":", F.lit(f"band{i}"), *[F.col(f"h{4 * i + j}").cast("string") for j in range(4)]) for i in range(BANDS)])
+    keys = scratch.save(per.select("repo", F.explode(bands).alias("v")), "bands")
+    several = keys.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v")
+    linked = components(keys.join(several, "v", "left_semi").select(F.concat(F.lit("repo:"), "repo").alias("u"), "v"), scratch)
+    return linked.filter("startswith(node, 'repo:')").select(F.substring("node", 6, 30).cast("long").alias("repo"), F.col("root").alias("family"))
+
+
 def copied(seen: DataFrame, scratch: Scratch, repositories: int, share: float) -> DataFrame:
     """``s`` of every fingerprint set that is a copy; ``seen`` has file_id, repo, s and prints."""
+    some = seen.filter(F.size("prints") > 0)
     # A file delivered twice counts once, so it is in one repository only.
-    holders = seen.filter(F.size("prints") > 0).groupBy("file_id", "s").agg(F.min(F.coalesce("repo", F.lit(-1))).alias("repo")).select("s", "repo").distinct()
-    sets = scratch.save(seen.filter(F.size("prints") > 0).groupBy("s").agg(F.any_value("prints").alias("prints")), "sets")
+    holders = scratch.save(some.groupBy("file_id", "s").agg(F.min(F.coalesce("repo", F.lit(-1))).alias("repo")).select("s", "repo").distinct(), "holders")
+    kin = families(holders, scratch)
+    held = holders.join(kin, "repo", "left").select("s", F.coalesce("family", F.concat(F.lit("repo:"), "repo")).alias("family")).distinct()
+    sets = scratch.save(some.groupBy("s").agg(F.any_value("prints").alias("prints")), "sets")
     posts = sets.select("s", F.size("prints").alias("size"), F.explode("prints").alias("p"))
-    shared = posts.groupBy("p").agg(F.count("*").alias("n")).filter("n > 1")
-    rows, heavy = salted(posts, "p", "s", posts.count())
+    # Written, so that its size is known: a small table of shared fingerprints is sent to the posts, a large one meets them in a salted join.
+    shared = scratch.save(posts.groupBy("p").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    total = sets.agg(F.coalesce(F.sum(F.size("prints")), F.lit(0))).first()[0]
+    rows, heavy = salted(posts, "p", "s", total, shared)
     # Fingerprints of one set only can't meet a partner; they are the rarest, so they use up the prefix.
     met = scratch.save(rows.join(replicated(shared, "p", heavy), ["p", "_salt"]).select("s", "size", "p", "n", "_salt"), "met")
     prefix = met.groupBy("s", "size").agg(F.array_sort(F.collect_list(F.struct("n", "p"))).alias("by")).withColumn("take", (F.size("by") - F.ceil(F.lit(share) * F.col("size")) + 1).cast("int")).filter("take > 0")
     seek = replicated(prefix.select(F.col("s").alias("a"), F.explode(F.slice("by", F.lit(1), F.col("take"))).alias("x")).select("a", F.col("x.p").alias("p")), "p", heavy)
-    pairs = seek.join(met.select("p", "_salt", F.col("s").alias("b")), ["p", "_salt"]).filter("a <> b").select("a", "b").distinct()
-    one = lambda c: sets.select(F.col("s").alias(c), F.col("prints").alias(f"p{c}"))
+    pairs = scratch.save(seek.join(met.select("p", "_salt", F.col("s").alias("b")), ["p", "_salt"]).filter("a <> b").select("a", "b").distinct(), "pairs")
+    # Only sets that have a partner are compared whole.
+    paired = scratch.save(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "s", "left_semi"), "paired")
+    one = lambda c: paired.select(F.col("s").alias(c), F.col("prints").alias(f"p{c}"))
     sure = pairs.join(one("a"), "a").join(one("b"), "b").filter(F.size(F.array_intersect("pa", "pb")) >= share * F.size("pa")).select("a", "b")
-    where = sure.join(holders.select(F.col("s").alias("b"), "repo"), "b").select("a", "repo").unionByName(holders.select(F.col("s").alias("a"), "repo"))
+    where = sure.join(held.select(F.col("s").alias("b"), "family"), "b").select("a", "family").unionByName(held.select(F.col("s").alias("a"), "family"))
     return where.distinct().groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= repositories).select(F.col("a").alias("s"))
 
 
