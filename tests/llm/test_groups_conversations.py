@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from strataquery.llm import components, conversations
@@ -126,3 +127,27 @@ def test_conversations_against_brute_force(spark, scratch):
         if len(v) % 2 == 0 and all(m[2] == ("user", "assistant")[i % 2] and m[3].strip() for i, m in enumerate(v)):
             want += [(c, i + 1, m[1]) for i, m in enumerate(v)]
     assert rebuilt(spark, scratch, data) == sorted(want, key=repr)
+
+
+def test_skewed_clocks_are_corrected(spark, scratch):
+    """Answering clocks that are off by up to minutes: every order comes back, with each sender moved by half."""
+    rng, data, nth = random.Random(8), [], 0
+    for c in range(40):
+        off, at = rng.randrange(-300, 300), 1_000_000 + c * 10_000
+        for turn in range(1, 9):
+            at += rng.randrange(1, 20)
+            nth += 1
+            answer = turn % 2 == 0
+            data.append((f"c{c:02}", nth * 7919 % 10_007, "assistant" if answer else "user", "x", None, at - (off if answer else 0), turn))
+    df = spark.createDataFrame([d[:6] for d in data], "conversation_id string, id long, role string, text string, status string, s long").withColumn("created_at", F.timestamp_seconds("s"))
+    got = {(r.conversation_id, r.message_id): (r.turn, r.at_us) for r in conversations.rebuild(df, scratch, 600_000_000).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(d[0], d[1]): d[6] for d in data}
+    by_conversation = {}
+    for (c, _), (turn, at) in got.items():
+        by_conversation.setdefault(c, []).append((turn, at))
+    assert all(a[1] <= b[1] for turns in by_conversation.values() for a, b in zip(sorted(turns), sorted(turns)[1:]))
+    # Least squares: half of the smallest difference that fits falls to each sender.
+    one = [d for d in data if d[0] == "c03"]
+    asks, answers = [d[5] for d in one[::2]], [d[5] for d in one[1::2]]
+    low, high = max((q - a) * 10**6 for q, a in zip(asks, answers)), min((q - a) * 10**6 for q, a in zip(asks[1:], answers))
+    assert len({r.offset_us for r in conversations.rebuild(df, scratch, 600_000_000).filter("conversation_id = 'c03'").collect()} & set(range(low, high + 2))) == 1
