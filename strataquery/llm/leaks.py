@@ -1,12 +1,13 @@
 """Evaluation items that stand in training documents, whole or in part.
 
-Plan: windows of ``words`` consecutive words of every item and document are embedded by the CGK
-random walk: the walk reads the window with a pointer that a hash of (step, word) moves on or not,
+Plan: windows of consecutive words of every item and document - of a fixed size, or as long as the item -
+are embedded by the CGK random walk: the walk reads the window with a pointer that a hash of (step, word) moves on or not,
 so windows a few edits apart soon run in step again and edit distance becomes Hamming distance.  A
 repetition samples some steps of the walk; windows that agree on them are candidates, and all
 candidates are verified by exact edit distance over words.  Equal windows walk alike, so at
 distance 0 one repetition finds every match; with edits allowed the recall grows with the
-repetitions.
+repetitions.  Both windows have the same number of words, so an inserted or a lost word counts twice
+unless it is at an end.
 
 Items are a stated query set: they go to the executors in blocks of bounded size, each against all
 documents, so any number of items works and no corpus row is ever shuffled.  A block is a table of
@@ -31,8 +32,11 @@ from .textarrays import blocks, mix, words
 
 #: Words of a window, steps sampled by a repetition, and most code points of items in a block.
 WINDOW, SAMPLES, BLOCK_CHARS = 13, 10, 4_000_000
+#: Repetitions with edits, and how many words of a window there are to one edit.
+REPEATS, WORDS_AN_EDIT = 24, 10
+#: Most bytes of a block's bitmaps, whatever the repetitions.
+BITMAP_BYTES = 64_000_000
 _PAD = np.uint64(0x5BD1E9955BD1E995)
-_BITS = 24
 
 
 @dataclass
@@ -67,7 +71,7 @@ def _walk(hashes: np.ndarray, start: np.ndarray, size: int, seed: int, steps: np
             if maps is None:
                 prefixes.append(key)
             else:
-                spot = (key & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+                spot = (key & np.uint64(len(maps[k]) * 8 - 1)).astype(np.int64)
                 stay = np.flatnonzero((maps[k][spot >> 3] >> (spot & 7).astype(np.uint8)) & 1)
                 live, ptr, key, symbol = live[stay], ptr[stay], key[stay], symbol[stay]
                 if not len(live):
@@ -88,20 +92,23 @@ def _block(ids: list[int], texts: list[str], size: int, repeats: int, samples: i
     at = _windows(doc, size)
     own = [texts[d][s:e].lower() for d, s, e in zip(doc.tolist(), start.tolist(), end.tolist())]
     tables = []
+    # Bitmaps as wide as keeps chance hits rare, within their bound.
+    bits = min(max((len(at) * (128 if reach else 512)).bit_length(), 10), 24, (BITMAP_BYTES * 8 // (samples * repeats)).bit_length() - 1)
     for seed in range(repeats):
         rng = np.random.default_rng(seed)
-        # Without edits the first steps tell most; with edits any steps do, drawn anew each time.
-        steps = np.r_[0, np.sort(rng.choice(np.arange(1, 3 * size), samples - 1, replace=False))] if reach else np.unique(np.r_[0, 2, 3, np.linspace(5, 3 * size - 1, samples - 3).astype(int)])
+        # Without edits the first steps tell most.  With edits any do, drawn anew each time, the first too, or an
+        # edit of the first word would be missed every time; a walk leaves its window after some 2 * size steps.
+        steps = np.sort(rng.choice(np.arange(2 * size), samples, replace=False)) if reach else np.unique(np.r_[0, 2, 3, np.linspace(5, 3 * size - 1, samples - 3).astype(int)])
         _, key, prefixes = _walk(hashes, at, size, seed, steps, None)
         maps = []
         for p in prefixes:
-            bitmap = np.zeros(1 << (_BITS - 3), np.uint8)
-            spot = np.unique((p & np.uint64((1 << _BITS) - 1)).astype(np.int64))
+            bitmap = np.zeros(1 << (bits - 3), np.uint8)
+            spot = np.unique((p & np.uint64((1 << bits) - 1)).astype(np.int64))
             np.bitwise_or.at(bitmap, spot >> 3, (1 << (spot & 7)).astype(np.uint8))
             maps.append(bitmap)
         order = np.argsort(key, kind="stable")
         tables.append(_Prefixes(seed, steps, maps, key[order], order))
-    return {"ids": np.array(ids, np.int64), "doc": doc, "at": at, "words": own, "tables": tables}
+    return {"ids": np.array(ids, np.int64), "doc": doc, "at": at, "words": own, "tables": tables, "size": size, "reach": reach}
 
 
 def edit_distance(a: list[str], b: list[str], most: int) -> int:
@@ -120,64 +127,94 @@ def edit_distance(a: list[str], b: list[str], most: int) -> int:
     return row[-1]
 
 
-def _match(texts: list[str], block: dict, size: int, reach: int) -> set[tuple[int, int]]:
+def _match(texts: list[str], items: list[dict]) -> set[tuple[int, int]]:
+    """(text, item id) of what the blocks ``items`` find in texts."""
     hashes, doc, start, end = words(texts)
-    at = _windows(doc, size)
     found: set[tuple[int, int]] = set()
-    spelled: dict[int, list[str]] = {}
-    for t in block["tables"]:
-        if not len(t.keys) or not len(at):
-            continue
-        live, key, _ = _walk(hashes, at, size, t.seed, t.steps, t.maps)
-        lo, hi = np.searchsorted(t.keys, key, "left"), np.searchsorted(t.keys, key, "right")
-        for k in np.flatnonzero(hi > lo).tolist():
-            w = int(at[live[k]])
-            d = int(doc[w])
-            for o in t.owner[lo[k] : hi[k]].tolist():
-                first = int(block["at"][o])
-                pair = (d, int(block["ids"][block["doc"][first]]))
-                if pair in found:
-                    continue
-                if w not in spelled:
-                    spelled[w] = [texts[d][start[i] : end[i]].lower() for i in range(w, w + size)]
-                if edit_distance(spelled[w], block["words"][first : first + size], reach) <= reach:
-                    found.add(pair)
+    for block in items:
+        size, reach = block["size"], block["reach"]
+        at = _windows(doc, size)
+        spelled: dict[int, list[str]] = {}
+        for t in block["tables"]:
+            if not len(t.keys) or not len(at):
+                continue
+            live, key, _ = _walk(hashes, at, size, t.seed, t.steps, t.maps)
+            lo, hi = np.searchsorted(t.keys, key, "left"), np.searchsorted(t.keys, key, "right")
+            for k in np.flatnonzero(hi > lo).tolist():
+                w = int(at[live[k]])
+                d = int(doc[w])
+                for o in t.owner[lo[k] : hi[k]].tolist():
+                    first = int(block["at"][o])
+                    pair = (d, int(block["ids"][block["doc"][first]]))
+                    if pair in found:
+                        continue
+                    if w not in spelled:
+                        spelled[w] = [texts[d][start[i] : end[i]].lower() for i in range(w, w + size)]
+                    if edit_distance(spelled[w], block["words"][first : first + size], reach) <= reach:
+                        found.add(pair)
     return found
 
 
-def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, size: int = WINDOW, reach: int = 0, repeats: int = 1, samples: int = SAMPLES, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``doc_id, item_id`` of documents having ``size`` words within ``reach`` word edits of an item's."""
+def size_class(count: int) -> int:
+    """Words of the windows for an item of ``count`` words: the next lower step of a ladder that rises by a quarter."""
+    step = 1
+    while (up := max(step + 1, step * 5 // 4)) <= count:
+        step = up
+    return step
+
+
+def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, size: int | None = WINDOW, reach: int | None = 0, repeats: int = 1, samples: int = SAMPLES, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``doc_id, item_id`` of documents having ``size`` words within ``reach`` word edits of an item's.
+
+    Without ``size`` windows are as long as the item, a step of a ladder below it (``size_class``); without
+    ``reach`` one edit is allowed for every ``WORDS_AN_EDIT`` words of the window.  However many sizes
+    there are, the documents are read once for each block of items.
+    """
     spark = docs.sparkSession
     corpus = spread(docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("string").alias("t")))
-    out, ids, texts, held = None, [], [], 0
-
-    def scan(ids: list[int], texts: list[str]) -> DataFrame:
-        # A block has at most ``block_chars`` code points (or one item): that bounds what is sent.
-        shared = spark.sparkContext.broadcast(_block(ids, texts, size, repeats, samples, reach))
+    out, held = None, []
+
+    def scan(part: list[tuple[int, str]]) -> DataFrame:
+        # A block has at most ``block_chars`` code points (or one item), and its bitmaps a bound of their own.
+        classes: dict[int, list[tuple[int, str]]] = {}
+        if size is None:
+            _, doc, _, _ = words([t for _, t in part])
+            for n, item in zip(np.bincount(doc, minlength=len(part)).tolist(), part):
+                if n:
+                    classes.setdefault(size_class(n), []).append(item)
+        else:
+            classes[size] = part
+        made = [_block([i for i, _ in own], [t for _, t in own], w, repeats, samples, w // WORDS_AN_EDIT if reach is None else reach) for w, own in sorted(classes.items())]
+        shared = spark.sparkContext.broadcast(made)
 
         def run(batches: Iterator[pa.RecordBatch]):
             for batch in batches:
                 for rows, own in blocks(batch):
-                    pairs = sorted(_match(own, shared.value, size, reach))
+                    pairs = sorted(_match(own, shared.value))
                     if pairs:
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[[d for d, _ in pairs]])), pa.array([i for _, i in pairs], pa.int64())], names=["d", "i"])
 
         return corpus.mapInArrow(run, "d long, i long")
 
     query = items.select(F.col(item_id).cast("long"), F.col(item_text).cast("string")).filter(F.col(item_text).isNotNull())
+    chars, most = 0, max(1, block_chars // max(1, repeats // 4))
     for i, t in query.toLocalIterator():
-        if held and held + len(t) > block_chars:
-            part = scan(ids, texts)
+        if held and chars + len(t) > most:
+            part = scan(held)
             out = part if out is None else out.unionByName(part)
-            ids, texts, held = [], [], 0
-        ids.append(i)
-        texts.append(t)
-        held += len(t)
-    if ids or out is None:
-        part = scan(ids, texts)
+            held, chars = [], 0
+        held.append((i, t))
+        chars += len(t)
+    if held or out is None:
+        part = scan(held)
         out = part if out is None else out.unionByName(part)
     return out.distinct().select(F.col("d").alias("doc_id"), F.col("i").alias("item_id"))
 
 
 def p9_found(spark, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p9_edits(spark, sf_dir: str) -> DataFrame:
+    """Documents that hold an item, whole or nearly so: item-sized windows, one word in ten edited."""
+    return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text", size=None, reach=None, repeats=REPEATS)

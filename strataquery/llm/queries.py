@@ -12,7 +12,7 @@ def _query(module: str, name: str):
     return run
 
 
-QUERIES = {name: _query(module, name) for module, name in (("components", "p1_found"), ("conversations", "p3_found"), ("tokenize", "p8_ids"), ("leaks", "p9_found"), ("spans", "p10_found"), ("spans", "p10_shares"), ("provenance", "p6_found"), ("provenance", "p6_kinds"), ("syntax", "p7_found"), ("syntax", "p7_rates"))}
+QUERIES = {name: _query(module, name) for module, name in (("components", "p1_found"), ("conversations", "p3_found"), ("conversations", "p3_corrected"), ("tokenize", "p8_ids"), ("leaks", "p9_found"), ("leaks", "p9_edits"), ("spans", "p10_found"), ("spans", "p10_shares"), ("provenance", "p6_found"), ("provenance", "p6_kinds"), ("syntax", "p7_found"), ("syntax", "p7_rates"))}
 
 ORACLES: dict[str, str] = {
     "p3_found": r"""
@@ -29,6 +29,21 @@ w as (select conversation_id from n group by conversation_id
     and coalesce(role = case when turn % 2 = 1 then 'user' else 'assistant' end, false)))
 select conversation_id, cast(turn as integer) as turn, id as message_id
 from n where conversation_id in (select conversation_id from w)""",
+    "p3_corrected": r"""
+with m as (
+  select distinct conversation_id as c, id, epoch_us(created_at) as t, lower(regexp_replace(role, '^\s+|\s+$', '', 'g')) as role,
+    coalesce(lower(regexp_replace(status, '^\s+|\s+$', '', 'g')), '') as status, coalesce(regexp_replace(text, '^\s+|\s+$', '', 'g'), '') as body
+  from conversation_messages where conversation_id is not null and conversation_id <> ''),
+g as (select c from m group by c having bool_and(t is not null and status in ('', 'complete') and body <> '' and coalesce(role in ('user', 'assistant'), false))
+  and count(*) filter (role = 'user') = count(*) filter (role = 'assistant')),
+k as (select c, id, t, role = 'assistant' as answer, row_number() over (partition by c, role order by t, id) - 1 as k from m where c in (select c from g)),
+b as (select q.c, q.t - a.t + case when q.id > a.id then 1 else 0 end as low, n.t - a.t - case when a.id > n.id then 1 else 0 end as high
+  from k q join k a on a.c = q.c and a.k = q.k and a.answer left join k n on n.c = q.c and n.k = q.k + 1 and not n.answer where not q.answer),
+o as (select c, max(low) as low, min(high) as high from b group by c having min(high) is null or max(low) <= min(high)),
+d as (select c, greatest(low, case when high is null then 0 else least(0, high) end) as d from o)
+select c as conversation_id, cast(2 * k + 1 + case when answer then 1 else 0 end as integer) as turn, id as message_id, d as offset_us,
+  case when answer then t + d - cast(floor(d / 2) as bigint) else t - cast(floor(d / 2) as bigint) end as at_us
+from k join d using (c) where abs(d) <= 600000000""",
     "p1_found": r"""
 with recursive a as (select upper(regexp_replace(id, '^\s+|\s+$', '', 'g')) as i, list_concat(coalesce(aliases, []), coalesce(related, [])) as n from advisories),
 l as (select distinct i as u, upper(regexp_replace(x, '^\s+|\s+$', '', 'g')) as v from (select i, unnest(n) as x from a) where x is not null),
