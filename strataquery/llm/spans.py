@@ -11,7 +11,10 @@ stretches - one representative of each distinct context is compared with the oth
 window.  All windows of an anchor hold it, so what they share is one interval from the first to
 the last shared window.  Intervals of a document are merged at the end.
 
-Scale: the shuffled rows are anchors (some 50 bytes for 100 characters), then only those of shared
+An anchor and its context are equal if both their 64-bit hashes are, which is as good as equal texts.
+
+Scale: joins on an anchor, a context or a window salt the heavy ones, such as those of a licence text that
+a third of all documents have.  The shuffled rows are anchors (some 50 bytes for 100 characters), then only those of shared
 anchors.  Texts are read again only for edge contexts, behind a bitmap of fixed size.  An anchor with
 more than ``hot`` distinct contexts is not compared in one task: its windows become rows that are
 grouped by content with partial aggregation.  Copies never make pairs.
@@ -29,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.intervals import merge_runs
+from ..operators.skew import replicated, salted
 from ..session import Scratch, spread, table
 from .textarrays import BLOCK, blocks, codepoints, mix, prefix_hashes, span_hashes
 
 #: Characters of a shared stretch and of a gram, and the contexts of an anchor that one task compares.
 LEAST, GRAM, HOT = 300, 80, 20_000
-#: Bits of the bitmap of documents whose texts are read again: half a megabyte at any size.
-_BITMAP = 1 << 22
+#: Most bits of the bitmap of documents whose texts are read again: 32 megabytes at any size.
+_BITMAP = 1 << 28
 
 
 def compact_windows(texts: list[str], least: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -99,6 +103,12 @@ def _compare(table_: pa.Table, least: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(h[any_]), pa.array(x[any_]), pa.array(lo[any_].astype(np.int32)), pa.array(hi[any_].astype(np.int32))], names=["h", "x", "lo", "hi"]) if len(any_) else None
 
 
+def _met(rows: DataFrame, side: DataFrame, key: str, spread_: str, total: int, counts: str) -> DataFrame:
+    """``rows`` joined with ``side``, whose key is unique and counted in ``counts``; heavy keys are salted."""
+    left, heavy = salted(rows, key, spread_, total, side.select(key, F.col(counts).alias("n")))
+    return left.join(replicated(side, key, heavy), [key, "_salt"]).drop("_salt")
+
+
 def shared_spans(docs: DataFrame, doc_id: str, text: str, scratch: Scratch, least: int = LEAST, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``doc_id, span_start, span_end`` of the maximal shared runs."""
     corpus = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("string").alias("t"))
@@ -112,20 +122,24 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, scratch: Scratch, leas
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[rows][own].astype(np.int64)), pa.array(x.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(offset.astype(np.int32))], names=["h", "d", "x", "c", "n", "off"])
 
     found = scratch.save(spread(corpus).mapInArrow(anchors, "h long, d long, x long, c int, n int, off int"), "anchors")
-    both = found.groupBy("h").agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.min("x").alias("x0"), F.max("x").alias("x1")).filter("d0 < d1").select("h", (F.col("x0") != F.col("x1")).alias("mixed"))
-    shared = scratch.save(found.join(both, "h"), "shared")
+    both = found.groupBy("h").agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("*").alias("n")).filter("d0 < d1").select("h", (F.col("x0") != F.col("x1")).alias("mixed"), F.col("n").alias("anchors"))
+    both = scratch.save(both, "both")
+    shared = scratch.save(_met(found, both, "h", "d", found.count(), "anchors").drop("anchors"), "shared")
     scratch.drop("anchors")
     whole = shared.filter("not mixed").select("d", F.col("c").alias("s"), (F.col("c") + F.col("n") + least).alias("e"))
 
     edge = shared.filter("mixed")
-    contexts = edge.groupBy("h", "x").agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.min(F.struct("d", "c", "n", "off")).alias("r")).select("h", "x", "d0", "d1", F.col("r.d").alias("d"), F.col("r.c").alias("c"), F.col("r.n").alias("n"), F.col("r.off").alias("off"))
+    contexts = edge.groupBy("h", "x").agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.min(F.struct("d", "c", "n", "off")).alias("r"), F.count("*").alias("copies")).select("h", "x", "d0", "d1", F.col("r.d").alias("d"), F.col("r.c").alias("c"), F.col("r.n").alias("n"), F.col("r.off").alias("off"), "copies")
     contexts = scratch.save(contexts, "contexts")
-    bit = F.pmod(F.xxhash64("d"), F.lit(_BITMAP))
+    # Sixteen bits for every document to read again, within the bound of the bitmap.
+    bits = min(max(64, 1 << (16 * contexts.select("d").distinct().count()).bit_length()), _BITMAP)
+    bit = F.pmod(F.xxhash64("d"), F.lit(bits))
     marks = contexts.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(b % 64))")).alias("bits"))
-    # At most _BITMAP/64 rows: the bound is the bitmap's size.
+    # At most _BITMAP/64 rows of 16 bytes: the bound is the bitmap's size.
     readable = corpus.withColumn("b", bit).withColumn("word", F.floor(F.col("b") / 64)).join(F.broadcast(marks), "word").filter(F.expr("shiftrightunsigned(bits, int(b % 64)) & 1 = 1")).select("d", "t")
     crowd = contexts.groupBy("h").agg(F.count("*").alias("many"))
-    read = contexts.join(crowd, "h").join(readable, "d").select("h", "x", "d0", "d1", "n", "off", (F.col("many") > hot).alias("is_hot"), F.expr(f"substring(t, c + 1, n + {least})").alias("t"))
+    crowded = _met(contexts, crowd, "h", "x", contexts.count(), "many")
+    read = crowded.join(readable, "d").select("h", "x", "d0", "d1", "n", "off", (F.col("many") > hot).alias("is_hot"), F.expr(f"substring(t, c + 1, n + {least})").alias("t"))
     read = scratch.save(read, "texts")
 
     def compare(batches: Iterator[pa.RecordBatch]):
@@ -160,18 +174,26 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, scratch: Scratch, leas
 
     cool = read.filter("not is_hot").drop("is_hot").repartition("h").sortWithinPartitions("h").mapInArrow(compare, "h long, x long, lo int, hi int")
     wide = read.filter("is_hot").drop("is_hot").mapInArrow(explode, "h long, x long, d0 long, d1 long, a int, w long, k int")
-    twice = wide.groupBy("h", "a", "w").agg(F.min("d0").alias("d0"), F.max("d1").alias("d1")).filter("d0 < d1").select("h", "a", "w")
-    warm = wide.join(twice, ["h", "a", "w"]).groupBy("h", "x").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
-    part = edge.join(cool.unionByName(warm), ["h", "x"]).select("d", (F.col("c") + F.col("lo")).alias("s"), (F.col("c") + F.col("hi") + least).alias("e"))
+    wide = scratch.save(wide.withColumn("haw", F.struct("h", "a", "w")), "wide")
+    twice = wide.groupBy("haw").agg(F.min("d0").alias("_d0"), F.max("d1").alias("_d1"), F.count("*").alias("times")).filter("_d0 < _d1").select("haw", "times")
+    warm = _met(wide, twice, "haw", "x", wide.count(), "times").groupBy("h", "x").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    found_in = scratch.save(cool.unionByName(warm), "found").join(contexts.select("h", "x", "copies"), ["h", "x"]).select(F.struct("h", "x").alias("hx"), "lo", "hi", "copies")
+    part = _met(edge.withColumn("hx", F.struct("h", "x")), found_in, "hx", "d", edge.count(), "copies").select("d", (F.col("c") + F.col("lo")).alias("s"), (F.col("c") + F.col("hi") + least).alias("e"))
 
     def merge(batches: Iterator[pa.RecordBatch]):
-        rows = [b for b in batches if b.num_rows]
-        if rows:
-            t = pa.Table.from_batches(rows)
-            d, s, e = merge_runs(t["d"].to_numpy(), t["s"].to_numpy().astype(np.int64), t["e"].to_numpy().astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc_id", "span_start", "span_end"])
-
-    return whole.unionByName(part).repartition("d").mapInArrow(merge, "doc_id long, span_start int, span_end int")
+        # Rows come in order of document and start, so only the run that is open goes on to the next batch.
+        open_ = [np.zeros(0, np.int64)] * 3
+        row = lambda d, s, e: pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc_id", "span_start", "span_end"])
+        for b in batches:
+            if b.num_rows:
+                cols = [np.r_[o, b.column(i).to_numpy().astype(np.int64)] for i, o in enumerate(open_)]
+                done = merge_runs(*cols)
+                open_ = [c[-1:] for c in done]
+                yield row(*[c[:-1] for c in done])
+        if len(open_[0]):
+            yield row(*open_)
+
+    return whole.unionByName(part).repartition("d").sortWithinPartitions("d", "s").mapInArrow(merge, "doc_id long, span_start int, span_end int")
 
 
 def p10_found(spark, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def test_item_sized_windows_find_edited_items(spark):
 
 def test_the_first_word_may_be_the_edited_one(spark):
     item = [f"k{i}" for i in range(20)]
-    texts = [" ".join(["x", *item[1:]]), " ".join([*item[:-1], "x"]), " ".join(item[:10] + ["x"] + item[10:])]
+    texts = [" ".join(["x", *item[1:]]), " ".join([*item[:-1], "x"]), " ".join(item[:10] + ["x"] + item[11:])]
     it = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     assert rows(leaks.leaks(docs(spark, texts), "doc_id", "text", it, "item_id", "text", size=None, reach=None, repeats=leaks.REPEATS)) == [(0, 7), (1, 7), (2, 7)]
 
@@ -49,3 +49,18 @@ def test_bitmaps_have_a_bound():
     for repeats in (1, 24, 200):
         block = leaks._block([0], ["a b c " * 5000], 13, repeats, 10, 1)
         assert sum(m.nbytes for t in block["tables"] for m in t.maps) <= leaks.BITMAP_BYTES
+
+
+def test_shared_spans_with_hot_anchors(spark, scratch, monkeypatch):
+    """One text in most documents, whole and at changing edges: the salted paths give what brute force gives."""
+    from strataquery.llm import spans
+    from strataquery.operators import skew
+    from test_texts import brute_spans
+
+    monkeypatch.setattr(skew, "LEAST_ROWS", 0)
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common = text(120)
+    texts = [text(rng.randrange(30)) + (common[rng.randrange(3) :] if k % 3 else common) + text(rng.randrange(30)) for k in range(60)] + [text(80) for _ in range(5)] + [None, ""]
+    for hot in (20_000, 3):
+        assert rows(spans.shared_spans(docs(spark, texts), "doc_id", "text", scratch, 40, 8, hot)) == brute_spans(texts, 40)
