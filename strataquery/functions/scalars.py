@@ -11,6 +11,13 @@ LANGUAGES = {
     "go": "Go", "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "java": "Java", "kt": "Kotlin", "kts": "Kotlin",
     "py": "Python", "cs": "C#", "rs": "Rust", "c": "C", "h": "C", "cc": "C++", "cpp": "C++", "cxx": "C++", "hpp": "C++", "rb": "Ruby", "php": "PHP", "swift": "Swift",
 }
+#: Further labels of the source map, and the labels of the scanner.
+MAP_LANGUAGES = {
+    "html": "HTML", "htm": "HTML", "css": "CSS", "scss": "CSS", "sass": "CSS", "sql": "SQL", "md": "Markdown", "markdown": "Markdown", "yaml": "YAML", "yml": "YAML", "json": "JSON", "sh": "Shell", "bash": "Shell", "zsh": "Shell",
+}
+SCANNED_LANGUAGES = {
+    "go": "go", "java": "java", "kt": "kotlin", "kts": "kotlin", "gradle": "groovy", "groovy": "groovy", "gvy": "groovy", "tsx": "tsx", "ts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "sql": "sql", "sh": "bash", "bash": "bash",
+}
 #: Tokens that count as branches.
 BRANCHES = {
     "Python": ["if ", "elif ", "for ", "while ", " except ", " and ", " or "],
@@ -29,9 +36,10 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"\.([^.]+)$", 1))
 
 
-def language_of(path: Column) -> Column:
-    """Language by extension, '' where it is unknown."""
-    table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+def language_of(path: Column, which: str = "metrics") -> Column:
+    """Language by extension, '' where it is unknown; ``which`` of three sets of labels: metrics, map or scanner."""
+    labels = {"metrics": LANGUAGES, "map": {**LANGUAGES, **MAP_LANGUAGES}, "scanner": SCANNED_LANGUAGES}[which]
+    table = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
     return F.coalesce(F.try_element_at(table, extension(path)), F.lit(""))
 
 

@@ -8,6 +8,10 @@ from ..plans.lang import Query, QueryError
 from ..plans.predicates import all_of, any_of, contains
 
 
+#: Fixed value: diffs of one answer.
+MOST_DIFFS = 25
+
+
 def day_bound(value: str, end: bool) -> Column:
     """A time, or a bare date: its start, or for ``end`` the start of the next day."""
     if len(value) == 10:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import intervals, nested, snapshots
-from . import queries_facts, queries_fleet, queries_manifests, queries_more, queries_search
+from . import queries_facts, queries_fleet, queries_manifests, queries_more, queries_search, queries_source
 
 QUERIES = {
     **queries_search.QUERIES,
@@ -11,6 +11,7 @@ QUERIES = {
     **queries_more.QUERIES,
     **queries_manifests.QUERIES,
     **queries_fleet.QUERIES,
+    **queries_source.QUERIES,
     "p2_found": snapshots.p2_found,
     "p4_found": nested.p4_found,
     "p4_events_table": nested.p4_events_table,
@@ -72,6 +73,7 @@ ORACLES: dict[str, str] = {
     **queries_more.ORACLES,
     **queries_manifests.ORACLES,
     **queries_fleet.ORACLES,
+    **queries_source.ORACLES,
     "p2_found": _P2,
     "p4_found": _P4,
     "p4_events_table": _NESTED + """

@@ -557,7 +557,7 @@ select distinct repository_id, path, root, cast(depth as bigint) as depth from c
     "graph_union": f"with {_EDGES} select node, count(*) as degree from (select src as node from e union all select dst from e) group by node",
     "graph_neighbors": f"with {_EDGES} select src as node, dst as neighbour from e where src in ('nation:3', 'supplier:7') union all select dst, src from e where dst in ('nation:3', 'supplier:7')",
     "graph_impact_bfs": f"with recursive {_EDGES}, b as (select 'nation:3' as node, 0 as distance union all select e.src, b.distance + 1 from b join e on e.dst = b.node where b.distance < 3) select node, cast(min(distance) as bigint) as distance from b group by node",
-    "graph_traversed_edges": f"with {_EDGES}, n as (select 'region:1' as node union all select src from e where dst = 'region:1') select src || '>' || dst as id from e where dst in (select node from n)",
+    "graph_traversed_edges": f"with {_EDGES}, n as (select 'region:1' as node union all select src from e where dst = 'region:1') select src || '>' || dst as id from e join n on dst = node",
     "graph_shortest_path": "select * from (values (0::bigint, 'customer:1'), (1, 'nation:' || (select c_nationkey from customer where c_custkey = 1)), (2, 'region:' || (select n_regionkey from nation join customer on n_nationkey = c_nationkey where c_custkey = 1))) t(step, node) where (select n_regionkey from nation join customer on n_nationkey = c_nationkey where c_custkey = 1) = 4",
     "reachability_closure": f"""with recursive {_EDGES}, b as (select 'order:' || o_orderkey as node, 0 as distance from orders where o_totalprice > 300000 union select e.dst, b.distance + 1 from b join e on e.src = b.node)
 select node, cast(min(distance) as bigint) as distance from b group by node""",

@@ -114,6 +114,21 @@ def endpoints(lines: DataFrame) -> DataFrame:
     return rows.select("repository", "path", "number", F.regexp_extract("url", "^([a-z+]+)://", 1).alias("protocol"), host.alias("host")).withColumn("loopback", F.col("host").isin("localhost", "127.0.0.1", "0.0.0.0", "::1"))
 
 
+def service_lines(lines: DataFrame) -> DataFrame:
+    """``repository, path, number, protocol, target`` of lines that call a remote procedure, open a database or serve tools.
+
+    Procedure targets stand in quotes behind a dial, an address or an endpoint setting; database targets
+    are the hosts of their URLs; a server of tools is told by what its libraries are called.
+    """
+    grpc = F.lower(F.regexp_extract("line", r"""(?i)(?:grpc\.(?:dial|newclient)|foraddress|grpc[-_. ]?(?:target|endpoint|host))[^"'`\n]{0,100}["'`]([a-z0-9][a-z0-9._-]*)""", 1))
+    scheme = F.lower(F.regexp_extract("line", r"(?i)\b(postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|cassandra|neo4j|sqlserver)://", 1))
+    host = F.lower(F.regexp_extract("line", r"(?i)\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|cassandra|neo4j|sqlserver)://(?:[^@/\s\"'`]*@)?([a-z0-9._-]+)", 1))
+    tools = F.lower("line").rlike(r"@modelcontextprotocol/sdk|mcpserver|mcp\.newserver|streamablehttpservertransport")
+    item = lambda cond, p, t: F.when(cond, F.struct(p.alias("protocol"), t.alias("target")))
+    found = F.filter(F.array(item(grpc != "", F.lit("grpc"), grpc), item(host != "", scheme, host), item(tools, F.lit("mcp"), F.col("repository").cast("string"))), lambda x: x.isNotNull())
+    return lines.select("repository", "path", "number", F.explode(found).alias("x")).select("repository", "path", "number", "x.protocol", "x.target")
+
+
 def assignments(lines: DataFrame) -> DataFrame:
     """``NAME=value`` and ``NAME: value`` lines of configuration; secrets keep the name only."""
     name, value = F.regexp_extract("line", r"^[ \t-]*(?:export[ \t]+|ENV[ \t]+)?([A-Z][A-Z0-9_]{2,})[ \t]*[:=]", 1), F.trim(F.regexp_extract("line", r"^[^:=]*[:=][ \t]*(.*)$", 1))

@@ -181,3 +181,25 @@ def test_snapshots_are_whole(spark, scratch):
     assert sinks.read_snapshot(spark, root).count() == 3 and sinks.remove_superseded(spark, root) == 1
     sinks.publish_snapshot(spark.range(5), root)
     assert sinks.current_snapshot(spark, root) != half and sinks.read_snapshot(spark, root).count() == 5
+
+
+def test_packages_and_imports(spark):
+    from strataquery.operators import packages
+
+    f = spark.createDataFrame([("r", "main.go"), ("r", "a/x_test.go"), ("r", "cmd/t/m.go"), ("r", "b/y.go")], "repository string, path string")
+    assert rows(packages.go_packages(f).select("package", "label", "entrypoint")) == [("", "r", False), ("b", "b", False), ("cmd/t", "t", True)]
+    i = spark.createDataFrame([("r", "main.go", "m.x/b"), ("r", "main.go", "m.xy/b"), ("r", "main.go", "m.x/none"), ("r", "b/y.go", "m.x/b"), ("r", "b/y_test.go", "q/z/v2")], "repository string, path string, target string")
+    m = spark.createDataFrame([("r", "m.x")], "repository string, module string")
+    assert rows(packages.import_edges(i, m, packages.go_packages(f)).select("source", "target")) == [("", "b")]
+    d = spark.createDataFrame([("r", "q/z"), ("r", "q"), ("r", "q/zz"), ("s", "q")], "repository string, package string")
+    assert rows(packages.dependency_usage(i, d)) == [("r", "q", 1, "test"), ("r", "q/z", 1, "test"), ("r", "q/zz", 0, "unused"), ("s", "q", 0, "unused")]
+    t = spark.createDataFrame([("only", "k8s/a.yaml"), ("only", "README.md"), ("both", "k8s/a.yaml"), ("both", "x.py"), ("none", "x.txt")], "repository string, path string")
+    assert rows(packages.deployment_only(t)) == [("only",)]
+
+
+def test_service_lines(spark):
+    from strataquery.operators.search import lines
+    from strataquery.sources import extract
+
+    text = 'c = grpc.NewClient("orders:443")\nurl: mongodb+srv://u:p@Db.x/y\nplain grpc words\nimport "@modelcontextprotocol/sdk"\n'
+    assert rows(extract.service_lines(lines(files(spark, ("a", text)))).select("number", "protocol", "target")) == [(1, "grpc", "orders"), (2, "mongodb+srv", "db.x"), (4, "mcp", "r")]
