@@ -20,6 +20,8 @@ class Scope:
 def covers(a: Scope, b: Scope) -> bool:
     if a.repository_id != b.repository_id:
         return False
+    if a.lines is not None and (not a.path or a.directory):
+        return a == b  # some lines of every file cover no other scope
     if not a.path:
         return True
     if a.directory:

@@ -496,6 +496,14 @@ select repository_id, raw, case when n = 1 then path end as path, case when n =
     "coverage_metrics": f"with {_COUNTS} " + _METRICS % "c",
     "coverage_aggregate": f"with {_COUNTS}, t as (select l_suppkey, '' as path, sum(lf) as lf, sum(lh) as lh, sum(bf) as bf, sum(bh) as bh from c group by l_suppkey) " + _METRICS % "t",
     "lcov_import": f"with {_COUNTS} select l_suppkey as report_id, path, lf as lines_found, lh as lines_hit, bf as branches_found, bh as branches_hit from c",
+    "sarif_findings": r"""with t as (select distinct report_id, cast(text as json) as t from sarif_reports where json_valid(text) and json_type(text) = 'OBJECT' and json_extract_string(text, '$.version') = '2.1.0'),
+r as (select report_id, unnest(from_json(json_extract(t, '$.runs'), '["JSON"]')) as run, unnest(range(json_array_length(t, '$.runs')::bigint)) as run_no from t where json_type(t, '$.runs') = 'ARRAY'),
+s as (select report_id, run_no, json_extract(run, '$.tool.driver.rules') as rules, unnest(from_json(json_extract(run, '$.results'), '["JSON"]')) as x, unnest(range(json_array_length(run, '$.results')::bigint)) as result_no from r where json_type(run, '$.results') = 'ARRAY'),
+k as (select *, nullif(trim(json_extract_string(x, '$.ruleId')), '') as named, try_cast(json_extract_string(x, '$.ruleIndex') as bigint) as ix, lower(trim(coalesce(json_extract_string(x, '$.level'), ''))) as level from s where json_type(x) = 'OBJECT')
+select report_id, run_no, result_no, coalesce(named, case when ix >= 0 then json_extract_string(rules, '$[' || ix || '].id') end, 'sarif.finding') as key,
+  case when level in ('error', 'critical', 'blocker') then 'error' when level in ('warning', 'warn', 'major') then 'warning' when level in ('note', 'info', 'minor') then 'note' when level in ('none', '') then 'none' else level end as severity,
+  replace(regexp_replace(coalesce(json_extract_string(x, '$.locations[0].physicalLocation.artifactLocation.uri'), ''), '^file://', ''), '\', '/') as path,
+  try_cast(json_extract_string(x, '$.locations[0].physicalLocation.region.startLine') as bigint) as start_line from k""",
     "sarif_export": f"""with {_O}, p as (select *, row_number() over (partition by repository_id order by key nulls first, coalesce(path, ''), start_line nulls first, id) - 1 as nth from o where kind = 'finding' and state = 'current' and repository_id is not null)
 select repository_id, nth, coalesce(nullif(trim(key), ''), 'sarif.finding') as key, case when severity in ('critical', 'high', 'error') then 'error' when severity in ('medium', 'warning') then 'warning' when severity in ('low', 'note') then 'note' else 'none' end as level,
   'finding ' || id as message, coalesce(path, '') as path, cast(start_line as bigint) as start_line from p where nth < 500""",

@@ -197,3 +197,8 @@ def test_no_text_in_a_shuffle(spark):
         plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         for exchange in re.finditer(r"Exchange [^\n]*\n([^\n]*)", plan):
             assert not re.search(r"(?:content|message|text)#\d+", exchange.group(0)), (name, exchange.group(0))
+
+
+def test_lines_of_a_folder_cover_nothing_else():
+    some, part = Scope(1, "", True, (1, 9)), Scope(1, "lib")
+    assert not contexts.covers(some, part) and contexts.compact([some, part, some]) == [some, part] and contexts.covers(Scope(1), some)
