@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import table
@@ -93,12 +94,34 @@ def _leaf(batches):
         yield fold(held)
 
 
+def _whole_cells(batches):
+    """Rows that come in order of (key, cell) as tables of whole cells, some ``_FLUSH_ROWS`` at a time."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= _FLUSH_ROWS:
+            t = pa.Table.from_batches(held)
+            same = [pc.equal(t[c], t[c][t.num_rows - 1]) for c in ("a", "b", "cell")]
+            cut = t.num_rows - pc.sum(pc.and_(pc.and_(same[0], same[1]), same[2])).as_py()
+            if cut:
+                yield t.slice(0, cut)
+                held = t.slice(cut).to_batches()
+                rows = t.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _node(batches):
     """Merge the lists of each (key, cell) that this task got, with the carry (tag 1) of the cell."""
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    t = pa.Table.from_batches(parts)
+    for t in _whole_cells(batches):
+        yield from _merged(t)
+
+
+def _merged(t: pa.Table):
     code, (a, b, cell) = _encode(t["a"], t["b"], t["cell"])
     tag, lo, hi = t["tag"].to_numpy(), t["lo"].to_numpy(), t["hi"].to_numpy()
     carry = np.full(len(a), np.iinfo(np.int64).min)
@@ -137,7 +160,7 @@ def periods_and_gaps(rows: DataFrame, cell_us: int = CELL_US) -> DataFrame:
     earlier = W.partitionBy("a", "b").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     carry = ends.withColumn("carry", F.max("hi").over(earlier)).withColumn("top", F.max("hi").over(W.partitionBy("a", "b")))
     carried = carry.filter(F.col("carry").isNotNull()).select("a", "b", "cell", F.lit(1).alias("tag"), F.col("carry").alias("lo"), F.col("carry").alias("hi"))
-    nodes = leaves.select("a", "b", "cell", F.lit(0).alias("tag"), "lo", "hi").unionByName(carried).repartition("a", "b", "cell").mapInArrow(_node, _NODE)
+    nodes = leaves.select("a", "b", "cell", F.lit(0).alias("tag"), "lo", "hi").unionByName(carried).repartition("a", "b", "cell").sortWithinPartitions("a", "b", "cell").mapInArrow(_node, _NODE)
     # The end of a key's very last period: one row for each key.
     tops = ends.groupBy("a", "b").agg(F.max("hi").alias("hi")).select("a", "b", F.lit((1 << 62)).alias("cell"), F.lit(3).alias("tag"), F.col("hi").alias("lo"), "hi")
     seq = W.partitionBy("a", "b").orderBy("cell", F.col("tag").desc())

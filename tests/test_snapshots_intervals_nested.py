@@ -121,3 +121,15 @@ def test_reports_with_long_integers():
     text = '{"runs": [{"n": ' + "1" * 5000 + "}]}"
     assert list(nested.parse_object(text)) == list(nested.parse_object(json.dumps(text))) == ["runs"]
     assert nested.parse_object("1" * 5000) is None
+
+
+def test_intervals_in_small_pieces(spark, monkeypatch):
+    """Whole cells are merged a few rows at a time; the answer is that of all at once."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    data = sorted((f"k{rng.randrange(5)}", "t", rng.randrange(4), 0, lo, lo + rng.randrange(30)) for lo in (rng.randrange(500) for _ in range(200)))
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*data)], names=["a", "b", "cell", "tag", "lo", "hi"])
+    every = sorted(r for b in intervals._node([batch]) for r in zip(*b.to_pydict().values()))
+    monkeypatch.setattr(intervals, "_FLUSH_ROWS", 7)
+    assert sorted(r for b in intervals._node([batch.slice(i, 3) for i in range(0, 200, 3)]) for r in zip(*b.to_pydict().values())) == every
