@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.scalars import bounded
 from ..plans.filters import any_path_predicate
 from ..plans.lang import Query
-from ..plans.predicates import text_predicate, validate
+from ..plans.predicates import basename, field_predicate, folded_equal, text_predicate, validate
 
 #: Fixed value: files of one page of a structural search.
 FILES_A_PAGE = 32
@@ -42,6 +42,17 @@ def search_pages(pages: DataFrame, query: Query, limit: int) -> DataFrame:
     return hits.select("repository", "slug", "title", "summary", bounded(F.col("body"), 12_000).alias("detail"), F.concat(F.col("repository"), F.lit("@"), F.substring("revision", 1, 8), F.lit(":wiki/"), F.col("slug")).alias("citation")).orderBy(F.lower("repository"), "slug").limit(limit)
 
 
+def search_routes(routes: DataFrame, query: Query, limit: int) -> DataFrame:
+    """Routes whose label, repository or path hold the text and any included text, none excluded.
+
+    ``routes``: repository, path, verb, route.
+    """
+    validate(query, "route")
+    label = F.concat_ws(" ", "verb", "route")
+    keep = text_predicate(query, F.concat_ws("\n", label, "repository", "path")) & field_predicate(query, "repository", F.col("repository"), folded_equal) & field_predicate(query, "path", F.col("path")) & field_predicate(query, "file", basename(F.col("path")))
+    return routes.filter(keep).select(label.alias("title"), "repository", "path").distinct().orderBy(F.lower("repository"), "path", "title").limit(limit)
+
+
 def visible_searches(saved: DataFrame, viewer: str) -> DataFrame:
     """Saved searches of one's own and shared ones, managed ones first."""
     return saved.filter((F.col("author") == viewer) | (F.col("visibility") == "shared")).orderBy(F.desc("managed"), F.lower("title"), "id")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars
-from ..operators import contexts, entities, history, packages, search, symbols
-from ..session import table
+from ..operators import contexts, entities, history, packages, reachability, search, symbols
+from ..session import Scratch, table
 from ..sources import extract, scip
 from .lang import QueryError, complete, parse, result_type
 from .predicates import text_predicate, validate
@@ -121,6 +121,18 @@ def diff_page(spark, sf_dir):
     return symbols.capped(f, ["repository_id"], [F.desc("file_id")], history.MOST_DIFFS).select("repository_id", "file_id", "truncated")
 
 
+def route_search(spark, sf_dir):
+    line = F.concat(F.lit('\tmux.Handle("'), F.when(F.col("k") % 2 == 0, "GET ").otherwise(""), F.lit("/"), "package", F.lit('", h)'))
+    routes = extract.go_routes(_texts(_packages(spark, sf_dir), "main.go", line))
+    return entities.search_routes(routes, parse("type:route lib-1 content:get content:brand#2 -content:lib-19 path:m1 -repo:brand#21"), 200)
+
+
+def reachability_report(spark, sf_dir):
+    """Declarations of all files: what is reached from mains, initializers and frameworks, and from where."""
+    files = source(spark, sf_dir).select("file_id", "repository", "path", "text")
+    return reachability.report(files, Scratch(spark, "report")).select("repository", "path", "kind", "name", F.col("line").cast("long").alias("line"), "state", F.col("distance").cast("long").alias("distance"), "ambiguous")
+
+
 ASKED = ['retry lang:go -path:test "a b"', "type:commit author:x", "x:y z", "-w", "type:diff type:commit", "lang:", '"open', "type:route lang:go", "+a"]
 
 
@@ -139,7 +151,7 @@ def query_language(spark, sf_dir):
     return spark.createDataFrame(rows, "query string, text string, filters string, kind string, refused boolean")
 
 
-QUERIES = {f.__name__: f for f in (go_packages, import_edges, dependency_usage, deployment_only, snapshot_compose, context_suggest, line_scopes, route_snapshot, service_lines, language_labels, definition_merge, evidence_text, diff_page, query_language)}
+QUERIES = {f.__name__: f for f in (go_packages, import_edges, dependency_usage, deployment_only, snapshot_compose, context_suggest, line_scopes, route_snapshot, service_lines, language_labels, definition_merge, evidence_text, diff_page, query_language, route_search, reachability_report)}
 
 _IMPORTS = r"""f as (select distinct repository, path from source_files),
 i as (select repository, regexp_replace(path, '\.[a-z]+$', case when length(path) % 2 = 0 then '.go' else '_test.go' end) as path, unnest(['x.example/' || repository || '/' || regexp_extract(path, '^[^/]+'), 'pkg.example/' || regexp_extract(path, '^[^/]+') || '/v2']) as target from f where contains(path, '/')
@@ -164,6 +176,8 @@ select path, kind from e where contains(lower(path), 'in') order by case when st
     "line_scopes": f"""with {FILES_SQL}, l as (select file_id, repository_id, path, string_split(text, chr(10)) as a from f where text is not null), p as (select *, unnest(range(1, len(a) + 1)) as number from l)
 select file_id, cast(number as bigint) as number from p where list_contains(regexp_split_to_array(a[number], '[^\\p{{L}}\\p{{Nd}}_$]+'), 'registry') and (repository_id between 20 and 59 and repository_id not in (33, 34) and number between 1 and 12 or repository_id = 21 and (path = 'lib' or starts_with(path, 'lib/')))""",
     "route_snapshot": f"with {_PACKAGES}, r as (select *, case when k % 2 = 0 then 'GET' else 'ANY' end as verb from p where repository <> 'brand#3') select 'route:' || repository || ':' || verb || ':/' || package as id, verb || ' /' || package as label, repository, folder || '/main.go' as path, repository || '@01234567:' || folder || '/main.go#L1' as citation from r",
+    "route_search": f"""with {_PACKAGES}, r as (select distinct case when k % 2 = 0 then 'GET' else 'ANY' end || ' /' || package as title, repository, folder || '/main.go' as path from p), h as (select *, lower(concat_ws(chr(10), title, repository, path)) as h from r)
+select title, repository, path from h where contains(h, 'lib-1') and (contains(h, 'get') or contains(h, 'brand#2')) and not contains(h, 'lib-19') and contains(path, 'm1') and repository <> 'brand#21' order by lower(repository), path, title limit 200""",
     "service_lines": f"""with {_PACKAGES}, n as (select *, 1 + row_number() over (partition by repository, folder order by k) as number from p)
 select repository, folder || '/a.go' as path, number, case k % 3 when 0 then 'grpc' else 'postgres' end as protocol, case k % 3 when 0 then package else package || '.db' end as target from n where k % 3 < 2
 union all select distinct repository, folder || '/a.go', 1, 'mcp', repository from p""",

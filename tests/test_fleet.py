@@ -203,3 +203,16 @@ def test_service_lines(spark):
 
     text = 'c = grpc.NewClient("orders:443")\nurl: mongodb+srv://u:p@Db.x/y\nplain grpc words\nimport "@modelcontextprotocol/sdk"\n'
     assert rows(extract.service_lines(lines(files(spark, ("a", text)))).select("number", "protocol", "target")) == [(1, "grpc", "orders"), (2, "mongodb+srv", "db.x"), (4, "mcp", "r")]
+
+
+def test_reachability_report(spark, scratch):
+    from strataquery.operators import reachability
+
+    go = "package a\nfunc main() {\n\tstep()\n}\nfunc step() {\n\tother()\n}\nfunc lone() {\n}\nfunc Open() {\n}\n"
+    java = "@Service class S extends Base {\n  private void unused() { }\n  void used() { helper(); }\n}\nclass Base {\n  void twice() { }\n}\n"
+    data = [("r", "a.go", go, 1), ("r", "a.go", go, 1), ("r", "b.go", "package a\nfunc other() {\n}\n", 2), ("s", "S.java", java, 3), ("t", "c.go", "package c\nfunc lone() {\n}\n", 4), ("t", "d.go", None, 5)]
+    got = {(r.repository, r.name): r for r in reachability.report(spark.createDataFrame(data, "repository string, path string, text string, file_id long"), scratch).collect()}
+    assert {k: v.state for k, v in got.items() if k[0] == "r"} == {("r", "main"): "reachable", ("r", "step"): "reachable", ("r", "other"): "reachable", ("r", "lone"): "probably_unreachable", ("r", "Open"): "public"}
+    assert got["r", "main"].root == "main" and got["r", "other"].distance == 2 and "#step#" in got["r", "other"].parent and got["r", "main"].parent is None
+    assert got["s", "S"].state == "reachable" and got["s", "unused"].state == "probably_unreachable" and got["t", "lone"].state == "unknown"
+    assert got["s", "Base"].state == "public"  # reaching what extends a base says nothing of the base
