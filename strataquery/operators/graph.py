@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import Scratch
+from . import skew
 from .skew import replicated, salted
 
 
@@ -23,11 +24,13 @@ class _Adjacency:
     """Edges written once, heavy nodes salted: a hub's edges are spread, and only its row of a frontier is repeated."""
 
     def __init__(self, pairs: DataFrame, scratch: Scratch):
-        self.scratch = scratch
         kept = scratch.save(pairs, "pairs")
-        rows, self.heavy = salted(kept, "node", "neighbour", kept.count())
-        # Without heavy nodes the pairs are the adjacency; else it is written with its salts, so that rounds don't repeat them.
-        self.rows = rows if self.heavy is None else scratch.save(rows, "adjacent")
+        total = kept.count()
+        # Only nodes that may be heavy are kept of the counts, so each round adds its salts from a tiny table.
+        counts = None
+        if total >= skew.LEAST_ROWS:
+            counts = scratch.save(kept.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > total // skew.SHARE), "counts")
+        self.rows, self.heavy = salted(kept, "node", "neighbour", total, counts)
 
     def step(self, frontier: DataFrame) -> DataFrame:
         return replicated(frontier, "node", self.heavy).join(self.rows, ["node", "_salt"]).drop("_salt")

@@ -318,7 +318,7 @@ def scip_import(spark, sf_dir):
 def _indexes(spark, sf_dir) -> DataFrame:
     import pyarrow as pa
 
-    p = _packages(spark, sf_dir).select(F.dense_rank().over(_brands()).cast("long").alias("index_id"), "folder", "k", "package")
+    p = _packages(spark, sf_dir).join(F.broadcast(brand_ids(spark, sf_dir)), "repository").select("index_id", "folder", "k", "package")
     docs = p.groupBy("index_id", "folder").agg(F.sort_array(F.collect_list(F.struct("k", "package"))).alias("ps"))
     per = docs.groupBy("index_id").agg(F.sort_array(F.collect_list(F.struct("folder", "ps"))).alias("docs"))
 
@@ -336,10 +336,11 @@ def _indexes(spark, sf_dir) -> DataFrame:
     return per.mapInArrow(run, "index_id long, data binary")
 
 
-def _brands():
+def brand_ids(spark, sf_dir) -> DataFrame:
+    """``repository, index_id``: the brands of the catalogue, a handful, numbered by name."""
     from pyspark.sql import Window as W
 
-    return W.orderBy("repository")  # the brands of a catalogue are a handful
+    return _packages(spark, sf_dir).select("repository").distinct().select("repository", F.dense_rank().over(W.orderBy("repository")).cast("long").alias("index_id"))
 
 
 def scip_implementations(spark, sf_dir):

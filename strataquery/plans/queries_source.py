@@ -10,7 +10,7 @@ from ..session import Scratch, table
 from ..sources import extract, scip
 from .lang import QueryError, complete, parse, result_type
 from .predicates import text_predicate, validate
-from .queries_fleet import _indexes
+from .queries_fleet import _indexes, brand_ids
 from .queries_manifests import _PACKAGES, _packages, _texts
 from .queries_search import FILES_SQL, source
 
@@ -100,9 +100,7 @@ def definition_merge(spark, sf_dir):
     """Definitions of compiler indexes instead of the patterns' ones in files that have any."""
     compiler = scip.definition_names(scip.occurrences(_indexes(spark, sf_dir))).select("index_id", "path", "name", "line")
     p = _packages(spark, sf_dir)
-    from pyspark.sql import Window as W
-
-    ids = p.select("repository").distinct().select("repository", F.dense_rank().over(W.orderBy("repository")).cast("long").alias("index_id"))  # a handful of brands
+    ids = brand_ids(spark, sf_dir)
     syntax = p.join(F.broadcast(ids), "repository").select("index_id", F.concat("folder", F.when(F.col("k") % 2 == 0, "/a.go").otherwise("/b.go")).alias("path"), F.upper("package").alias("name"), F.lit(1).alias("line"))
     return symbols.merge_definitions(syntax, compiler, ["index_id", "path"]).select("index_id", "path", "name", F.col("line").cast("long").alias("line"), "source")
 
