@@ -79,6 +79,16 @@ def search_content(files: DataFrame, query: Query, mode: str = "substring") -> D
     return once(slim)
 
 
+def with_identity(matches: DataFrame, repositories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Matches with the name and revision of their repository, and one row that says how many had none.
+
+    ``matches``: repository_id; ``repositories``: id, name, indexed_commit.  A match of a repository that
+    is gone or not visible is dropped, never shown without its identity.
+    """
+    who = repositories.select(F.col("id").alias("repository_id"), F.col("name").alias("repository_name"), F.col("indexed_commit").alias("indexed_revision"))
+    return matches.join(who, "repository_id"), matches.join(who.select("repository_id"), "repository_id", "left_anti").agg(F.count("*").alias("dropped"))
+
+
 def matching_lines(files: DataFrame, keep) -> DataFrame:
     """Lines for which ``keep(line)`` holds, with the line before and after ('' at the ends).
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars
-from ..operators import contexts, entities, history, packages, reachability, search, symbols
+from ..operators import contexts, entities, graph, history, packages, reachability, search, symbols
 from ..session import Scratch, table
-from ..sources import extract, scip
+from ..sources import extract, scip, syntax_nodes
 from .lang import QueryError, complete, parse, result_type
 from .predicates import text_predicate, validate
+from .queries_facts import _edges, _EDGES
 from .queries_fleet import _indexes, brand_ids
 from .queries_manifests import _PACKAGES, _packages, _texts
 from .queries_search import FILES_SQL, source
@@ -119,6 +120,27 @@ def diff_page(spark, sf_dir):
     return symbols.capped(f, ["repository_id"], [F.desc("file_id")], history.MOST_DIFFS).select("repository_id", "file_id", "truncated")
 
 
+def search_identity(spark, sf_dir):
+    """Files that match with the identity of their repository, where it is ready; the others are counted."""
+    hits = search.once(source(spark, sf_dir).filter("text is not null and contains(lower(text), 'registry')").select("file_id", "repository_id", "path"))
+    rows, dropped = search.with_identity(hits, table(spark, sf_dir, "repositories").filter("index_state = 'ready'"))
+    return rows.select("file_id", "path", "repository_name", "indexed_revision").unionByName(dropped.select(F.lit(None).cast("long").alias("file_id"), F.concat(F.lit("dropped: "), "dropped").alias("path"), F.lit("").alias("repository_name"), F.lit("").alias("indexed_revision")))
+
+
+def impact_limited(spark, sf_dir):
+    """The first two hundred nodes, by distance and name, of what depends on one nation."""
+    hit = graph.impact(_edges(spark, sf_dir), spark.createDataFrame([("nation:3",)], "node string"), 2, Scratch(spark, "limited"), "in", 200)
+    return hit.select("node", F.col("distance").cast("long").alias("distance"))
+
+
+def symbol_containers(spark, sf_dir):
+    """For every call the tightest declaration around it, by the scanner's spans."""
+    f = source(spark, sf_dir).select("file_id", "repository", "path", "text")
+    d = syntax_nodes.declarations(f).filter("kind <> 'variable_declaration'").select("repository", "path", F.col("line").cast("long").alias("lo"), F.col("end_line").cast("long").alias("hi"), "name")
+    r = syntax_nodes.relations(f).filter("kind = 'call'").select("repository", "path", F.col("line").cast("long").alias("line")).distinct()
+    return graph.tightest_container(r, d, ["repository", "path"], "line")
+
+
 def route_search(spark, sf_dir):
     line = F.concat(F.lit('\tmux.Handle("'), F.when(F.col("k") % 2 == 0, "GET ").otherwise(""), F.lit("/"), "package", F.lit('", h)'))
     routes = extract.go_routes(_texts(_packages(spark, sf_dir), "main.go", line))
@@ -149,7 +171,7 @@ def query_language(spark, sf_dir):
     return spark.createDataFrame(rows, "query string, text string, filters string, kind string, refused boolean")
 
 
-QUERIES = {f.__name__: f for f in (go_packages, import_edges, dependency_usage, deployment_only, snapshot_compose, context_suggest, line_scopes, route_snapshot, service_lines, language_labels, definition_merge, evidence_text, diff_page, query_language, route_search, reachability_report)}
+QUERIES = {f.__name__: f for f in (go_packages, import_edges, dependency_usage, deployment_only, snapshot_compose, context_suggest, line_scopes, route_snapshot, service_lines, language_labels, definition_merge, evidence_text, diff_page, query_language, route_search, reachability_report, search_identity, impact_limited, symbol_containers)}
 
 _IMPORTS = r"""f as (select distinct repository, path from source_files),
 i as (select repository, regexp_replace(path, '\.[a-z]+$', case when length(path) % 2 = 0 then '.go' else '_test.go' end) as path, unnest(['x.example/' || repository || '/' || regexp_extract(path, '^[^/]+'), 'pkg.example/' || regexp_extract(path, '^[^/]+') || '/v2']) as target from f where contains(path, '/')
@@ -174,6 +196,10 @@ select path, kind from e where contains(lower(path), 'in') order by case when st
     "line_scopes": f"""with {FILES_SQL}, l as (select file_id, repository_id, path, string_split(text, chr(10)) as a from f where text is not null), p as (select *, unnest(range(1, len(a) + 1)) as number from l)
 select file_id, cast(number as bigint) as number from p where list_contains(regexp_split_to_array(a[number], '[^\\p{{L}}\\p{{Nd}}_$]+'), 'registry') and (repository_id between 20 and 59 and repository_id not in (33, 34) and number between 1 and 12 or repository_id = 21 and (path = 'lib' or starts_with(path, 'lib/')))""",
     "route_snapshot": f"with {_PACKAGES}, r as (select *, case when k % 2 = 0 then 'GET' else 'ANY' end as verb from p where repository <> 'brand#3') select 'route:' || repository || ':' || verb || ':/' || package as id, verb || ' /' || package as label, repository, folder || '/main.go' as path, repository || '@01234567:' || folder || '/main.go#L1' as citation from r",
+    "search_identity": f"""with {FILES_SQL}, h as (select f.*, r.id, r.name, r.indexed_commit from f left join (select * from repositories where index_state = 'ready') r on r.id = f.repository_id where contains(lower(text), 'registry'))
+select file_id, path, name as repository_name, indexed_commit as indexed_revision from h where id is not null union all select null, 'dropped: ' || count(*), '', '' from h where id is null""",
+    "impact_limited": f"""with {_EDGES}, a as (select distinct src as node from e where dst = 'nation:3'), b as (select distinct e.src as node from e join a on e.dst = a.node),
+m as (select 'nation:3' as node, 0::bigint as distance union all select node, 1 from a union all select node, 2 from b where node not in (select node from a)) select node, distance from m order by distance, node limit 200""",
     "route_search": f"""with {_PACKAGES}, r as (select distinct case when k % 2 = 0 then 'GET' else 'ANY' end || ' /' || package as title, repository, folder || '/main.go' as path from p), h as (select *, lower(concat_ws(chr(10), title, repository, path)) as h from r)
 select title, repository, path from h where contains(h, 'lib-1') and (contains(h, 'get') or contains(h, 'brand#2')) and not contains(h, 'lib-19') and contains(path, 'm1') and repository <> 'brand#21' order by lower(repository), path, title limit 200""",
     "service_lines": f"""with {_PACKAGES}, n as (select *, 1 + row_number() over (partition by repository, folder order by k) as number from p)
