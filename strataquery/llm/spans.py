@@ -38,8 +38,8 @@ from .textarrays import BLOCK, blocks, codepoints, mix, prefix_hashes, span_hash
 
 #: Characters of a shared stretch and of a gram, and the contexts of an anchor that one task compares.
 LEAST, GRAM, HOT = 300, 80, 20_000
-#: Most bits of the bitmap of documents whose texts are read again: 32 megabytes at any size.
-_BITMAP = 1 << 28
+#: Most bits of the bitmap of documents whose texts are read again: half a million words at any size.
+_BITMAP = 1 << 25
 
 
 def compact_windows(texts: list[str], least: int, gram: int) -> tuple[np.ndarray, ...]:
