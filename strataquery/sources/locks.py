@@ -118,12 +118,15 @@ _REQUIREMENT = r"""["']\s*([A-Za-z0-9][A-Za-z0-9._-]*(?:\[[^\]]*\])?[^"']*)["']"
 
 
 def pyproject(files: DataFrame) -> DataFrame:
-    """Project, optional and group dependencies and Poetry's tables; extras' groups count as test or development."""
-    tables = F.split(F.concat(F.lit("\n"), F.regexp_replace(F.regexp_replace("text", "\r\n", "\n"), r"(?m)^([^\"'\n#]*(?:\"[^\"\n]*\"|'[^'\n]*'|[^\"'\n#])*)#.*$", "$1")), r"\n(?=\[)", -1)
+    """Project, optional and group dependencies and Poetry's tables; extras' groups count as test or development.
+
+    Loops over alternatives are possessive: the matcher runs these as loops, others as a recursion as deep as the text is long.
+    """
+    tables = F.split(F.concat(F.lit("\n"), F.regexp_replace(F.regexp_replace("text", "\r\n", "\n"), r"(?m)^((?:\"[^\"\n]*\"|'[^'\n]*'|[^\"'\n#])*+)#.*$", "$1")), r"\n(?=\[)", -1)
     rows = files.select("repository", "path", F.explode(tables).alias("t")).withColumn("section", F.lower(F.regexp_extract("t", r"^\[+\s*([^\]]+?)\s*\]+", 1)))
     of_array = lambda pattern: F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
     arrays = rows.filter("section in ('project', 'project.optional-dependencies', 'dependency-groups')").select(
-        "repository", "path", "section", F.explode(of_array(r"""(?ms)^[ \t]*["']?[\w.-]+["']?[ \t]*=[ \t]*\[(?:[^\]"']|"[^"]*"|'[^']*')*\]""")).alias("a")
+        "repository", "path", "section", F.explode(of_array(r"""(?ms)^[ \t]*["']?[\w.-]+["']?[ \t]*=[ \t]*\[(?:[^\]"']|"[^"]*"|'[^']*')*+\]""")).alias("a")
     ).withColumn("key", F.lower(F.regexp_extract("a", r"""^[ \t]*["']?([\w.-]+)""", 1))).filter("section <> 'project' or key = 'dependencies'")
     group = lambda g: F.when(F.contains(g, F.lit("test")), "test").otherwise("development")
     usage = F.when(F.col("section") == "project", "production").otherwise(group(F.col("key")))

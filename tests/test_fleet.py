@@ -112,6 +112,14 @@ def test_locks(spark):
     assert rows(locks.pyproject(files(spark, ("pyproject.toml", py))).select("package", "declared", "usage")) == [("a", ">=1", "production"), ("b", "==2", "production"), ("pytest", "8", "test")]
 
 
+def test_long_dependency_lists(spark):
+    """Lists of thousands, one item a line or all on one: neither is too deep for the matcher's stack."""
+    n, item = 20_000, lambda i: f'"lib-{i}[x,y]>=1.{i}"'
+    lines = "[project]\ndependencies = [ # all\n" + "\n".join(f"  {item(i)}, # why" for i in range(n)) + "\n]\n[project.optional-dependencies]\ntests = [" + ", ".join(map(item, range(n))) + "] # [z]\n"
+    got = locks.pyproject(files(spark, ("pyproject.toml", lines))).groupBy("usage", F.concat("package", "declared").alias("p")).count()
+    assert rows(got.groupBy("usage").agg(F.count("*"), F.max("count"), F.count_if(F.col("p").rlike(r"^lib-(\d+)>=1\.\1$")))) == [("production", n, 1, n), ("test", n, 1, n)]
+
+
 def test_scip_rejects_whole_indexes():
     doc = ("a.go", "Go", [("s 1 x#", 3, 0, 4, True), ("local 1", 4, 0, 1, False)], [("s 1 x#", ["s 1 y#"])])
     symbols, spots = scip.read_index(scip.write_index([doc]))
